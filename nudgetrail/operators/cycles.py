@@ -12,6 +12,7 @@ from nudgetrail.functions.reporting import price_delta, price_lowered, rating_ch
 from nudgetrail.operators.joins import interval_join, left_join_hot_right
 from nudgetrail.operators.lookahead import with_next
 from nudgetrail.settings import RatingRules, StudyDates
+from nudgetrail.sources.tables import cut
 
 ITEM_KEY = ["provider", "region", "item"]
 
@@ -75,7 +76,7 @@ def anchor_state(
             price_at_next_band(rules).alias("price_at_next_band"),
         )
     )
-    joined = left_join_hot_right(sends, states, [*ITEM_KEY, "sent_date"])
+    joined = left_join_hot_right(cut(sends, "sends"), states, [*ITEM_KEY, "sent_date"])
     return (
         _with_rating(joined, prediction2, "obs_date", rules)
         .select(

@@ -12,6 +12,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nudgetrail.sources.tables import cut
+
 
 def null_safe_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner"
@@ -38,12 +40,12 @@ def left_join_hot_right(left: DataFrame, right: DataFrame, on: Sequence[str]) ->
     """A left join that still splits a skewed right side.
 
     A left outer join can only split its left side. Written as the inner join plus the unmatched
-    left rows, either side of the inner join can be split, and the unmatched part only needs the
-    distinct keys of the right side, which are combined before they are shuffled.
+    left rows, either side of the inner join can be split. Its rows are kept in the checkpoint
+    folder, so the right side, which may be a large log, is read once. The left is read twice.
     """
     on = list(on)
-    matched = left.join(right, on, "inner")
-    unmatched = left.join(right.select(on).distinct(), on, "left_anti")
+    matched = cut(left.join(right, on, "inner"), "matched")
+    unmatched = left.join(matched.select(on).distinct(), on, "left_anti")
     return matched.unionByName(unmatched, allowMissingColumns=True)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nudgetrail.operators.joins import null_safe_join
+from nudgetrail.sources.tables import cut
 
 
 def with_next(
@@ -21,10 +22,12 @@ def with_next(
     the last are followed by a row with the same value, and the last by the next order value.
     The ties are combined before the shuffle, so a key may hold any share of the rows; its
     window holds no more than its distinct order values (days, or days times labels).
+    The rows are read twice, so they are kept in the checkpoint folder first.
     """
     keys, order = list(keys), list(order)
     if value not in order:
         raise ValueError("value must be one of the order columns")
+    rows = cut(rows, "rows")
     rest = F.struct(*[c for c in rows.columns if c not in {*keys, *order}])
     heads = (
         rows.groupBy(*keys, *order)

@@ -39,19 +39,19 @@ def campaign_roster(
     opened message first, so a message with many events is not repeated.
     """
     messages = _campaign_messages(send, spec, dates).select("msg_id", "region")
+    providers = eav_lookup(context, spec.provider_key, "provider").withColumn(
+        "provider_region", F.col("region")
+    )
     opened = (
         track.where(F.col("event_type").isin(*spec.open_events))
         .select("msg_id", "region")
         .distinct()
         .withColumn("opened", F.lit(True))
     )
-    messages = messages.join(opened, ["msg_id", "region"], "left")
-    providers = eav_lookup(context, spec.provider_key, "provider").withColumn(
-        "provider_region", F.col("region")
-    )
     known = F.col("provider").isNotNull()
     return (
         left_join_hot_right(messages, providers, ["msg_id", "region"])
+        .join(opened, ["msg_id", "region"], "left")
         .groupBy("provider", F.col("provider_region").alias("region"))
         .agg(
             F.max(F.when(known, 1).otherwise(0)).cast("bigint").alias("sends"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import DataFrame
 
@@ -20,9 +21,23 @@ from nudgetrail.settings import CampaignSpec, NudgeSpec, RatingRules, ReportLabe
 from nudgetrail.sources.tables import cut, write_result
 
 
+class Sources(Protocol):
+    """The tables a study reads, in the schemas of FIXTURES.md."""
+
+    send: DataFrame
+    context: DataFrame
+    track: DataFrame
+    observation: DataFrame
+    prediction2: DataFrame
+    ontology: DataFrame
+    site: DataFrame
+    acct: DataFrame
+    account: DataFrame
+
+
 @dataclass(frozen=True)
-class Sources:
-    """The tables a study reads, as DataFrames in the schemas of FIXTURES.md."""
+class SourceTables:
+    """Sources given as frames, for instance from ``read_source``."""
 
     send: DataFrame
     context: DataFrame

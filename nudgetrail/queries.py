@@ -18,7 +18,7 @@ from nudgetrail.sources.standins import (
     NUDGE,
     RATING,
     STUDY,
-    sources,
+    SampleSources,
 )
 from nudgetrail.sources.tables import cut
 
@@ -47,11 +47,11 @@ def _observed(src: Sources, *extra) -> DataFrame:
 
 
 def campaign_roster(spark, sf_dir):
-    return STUDY.roster(sources(spark, sf_dir))
+    return STUDY.roster(SampleSources(spark, sf_dir))
 
 
 def campaign_roster_rows(spark, sf_dir):
-    src = sources(spark, sf_dir)
+    src = SampleSources(spark, sf_dir)
     return messages.campaign_roster_rows(src.send, src.context, src.track, CAMPAIGN_ROWS, DATES)
 
 
@@ -65,19 +65,19 @@ def roster_qa(spark, sf_dir):
 
 def eav_lookup(spark, sf_dir):
     """Provider and items of every message."""
-    context = sources(spark, sf_dir).context
+    context = SampleSources(spark, sf_dir).context
     provider = joins.eav_lookup(context, NUDGE.provider_key, "provider")
     item = joins.eav_lookup(context, NUDGE.item_key, "item").drop("region")
     return provider.join(item, "msg_id")
 
 
 def nudge_sends(spark, sf_dir):
-    src = sources(spark, sf_dir)
+    src = SampleSources(spark, sf_dir)
     return STUDY.nudges(src, STUDY.roster(src))
 
 
 def nudge_sends_to_openers(spark, sf_dir):
-    src = sources(spark, sf_dir)
+    src = SampleSources(spark, sf_dir)
     spec = type(NUDGE)(
         message_types=NUDGE.message_types,
         provider_key=NUDGE.provider_key,
@@ -95,7 +95,7 @@ def send_engagement(spark, sf_dir):
 
 
 def rating_relabel(spark, sf_dir):
-    src = sources(spark, sf_dir)
+    src = SampleSources(spark, sf_dir)
     second = src.prediction2.withColumnRenamed("creation_date", "date")
     rows = _observed(src, "country", "rating", F.to_date("run_time").alias("date"))
     label = ratings.relabel_rating(
@@ -106,32 +106,32 @@ def rating_relabel(spark, sf_dir):
 
 def display_label(spark, sf_dir):
     label = ratings.display_label(F.col("final_rating"), RATING.display)
-    return _observed(sources(spark, sf_dir), "final_rating", label.alias("label"))
+    return _observed(SampleSources(spark, sf_dir), "final_rating", label.alias("label"))
 
 
 def next_band_cutoff(spark, sf_dir):
     cutoff = ratings.next_band_cutoff(F.col("country"), F.col("final_score"), RATING.bands)
-    return _observed(sources(spark, sf_dir), "country", "final_score", cutoff.alias("cutoff"))
+    return _observed(SampleSources(spark, sf_dir), "country", "final_score", cutoff.alias("cutoff"))
 
 
 def price_at_next_band(spark, sf_dir):
     price = ratings.price_at_next_band(RATING).alias("price_at_next_band")
-    return _observed(sources(spark, sf_dir), "country", "final_score", price)
+    return _observed(SampleSources(spark, sf_dir), "country", "final_score", price)
 
 
 def anchor_state(spark, sf_dir):
-    src = sources(spark, sf_dir)
+    src = SampleSources(spark, sf_dir)
     return STUDY.anchors(src, STUDY.roster(src))
 
 
 def send_cycles(spark, sf_dir):
-    src = sources(spark, sf_dir)
+    src = SampleSources(spark, sf_dir)
     return STUDY.cycles(src, STUDY.roster(src))
 
 
 def next_observation(spark, sf_dir):
     """The look-ahead alone, over the whole log: each item's next rating in its region."""
-    rows = sources(spark, sf_dir).observation.select(
+    rows = SampleSources(spark, sf_dir).observation.select(
         "provider", "region", "item", "area", F.to_date("run_time").alias("date"), "rating", "price"
     )
     return with_next(
@@ -145,7 +145,7 @@ def next_observation(spark, sf_dir):
 
 def interval_join(spark, sf_dir):
     """Every observation inside a cycle of its item."""
-    src = sources(spark, sf_dir)
+    src = SampleSources(spark, sf_dir)
     spans = send_cycles(spark, sf_dir).select(
         *cycles.ITEM_KEY, "sent_date", "obs_date", "next_sent_date"
     )
@@ -158,12 +158,12 @@ def interval_join(spark, sf_dir):
 
 
 def trajectory(spark, sf_dir):
-    src = sources(spark, sf_dir)
+    src = SampleSources(spark, sf_dir)
     return STUDY.trajectory(src, STUDY.cycles(src, STUDY.roster(src)))
 
 
 def flag_changes(spark, sf_dir):
-    return _flags(sources(spark, sf_dir))
+    return _flags(SampleSources(spark, sf_dir))
 
 
 def flag_changes_by_region(spark, sf_dir):
@@ -186,39 +186,39 @@ def merge_change(spark, sf_dir):
 
 
 def persistence(spark, sf_dir):
-    return _persistent(sources(spark, sf_dir))
+    return _persistent(SampleSources(spark, sf_dir))
 
 
 def pre_post_summary(spark, sf_dir):
-    return _summary(sources(spark, sf_dir))
+    return _summary(SampleSources(spark, sf_dir))
 
 
 def pre_post_summary_by_segment(spark, sf_dir):
-    return _summary(sources(spark, sf_dir), by_country=False, use_fallback=False)
+    return _summary(SampleSources(spark, sf_dir), by_country=False, use_fallback=False)
 
 
 def pre_post_summary_by_provider(spark, sf_dir):
-    return _summary(sources(spark, sf_dir), grain="provider")
+    return _summary(SampleSources(spark, sf_dir), grain="provider")
 
 
 def country_filter_summary(spark, sf_dir):
-    return _summary(sources(spark, sf_dir), country="Europe")
+    return _summary(SampleSources(spark, sf_dir), country="Europe")
 
 
 def audience_size(spark, sf_dir):
-    src = sources(spark, sf_dir)
+    src = SampleSources(spark, sf_dir)
     return report.audience_size(STUDY.roster(src), _dims(src), LABELS)
 
 
 def audience_size_by_segment(spark, sf_dir):
-    src = sources(spark, sf_dir)
+    src = SampleSources(spark, sf_dir)
     return report.audience_size(
         STUDY.roster(src), _dims(src), LABELS, by_country=False, use_fallback=False
     )
 
 
 def changed_share(spark, sf_dir):
-    src = sources(spark, sf_dir)
+    src = SampleSources(spark, sf_dir)
     audience = report.audience_size(
         STUDY.roster(src), _dims(src), LABELS, provider_key=("provider", "region")
     )

@@ -15,11 +15,12 @@ five event types takes one part, and no row is left out.
 from __future__ import annotations
 
 from datetime import date
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nudgetrail.plans.study import Sources, Study
+from nudgetrail.plans.study import Study
 from nudgetrail.settings import (
     Bands,
     CampaignSpec,
@@ -29,6 +30,13 @@ from nudgetrail.settings import (
     StudyDates,
 )
 
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
 DATES = StudyDates(
     campaign_date=date(2024, 1, 15),
     nudge_start=date(2024, 1, 4),
@@ -90,25 +98,6 @@ LABELS = ReportLabels(
 STUDY = Study(DATES, CAMPAIGN, NUDGE, RATING, LABELS)
 
 
-def _providers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    region = spark.read.parquet(f"{sf_dir}/region.parquet")
-    return (
-        customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(
-            F.col("c_custkey").alias("provider"),
-            F.col("n_name").alias("region"),
-            F.col("r_name").alias("country"),
-            F.col("c_name").alias("name"),
-            F.col("c_nationkey").cast("bigint").alias("nation"),
-            F.col("c_acctbal").alias("balance"),
-            F.col("c_mktsegment").alias("segment"),
-        )
-    )
-
-
 def _banded(value: Column, labels: tuple[str, ...], limits: tuple[float, ...]) -> Column:
     band = F.lit(labels[-1])
     for label, limit in reversed(list(zip(labels, limits, strict=False))):
@@ -116,25 +105,11 @@ def _banded(value: Column, labels: tuple[str, ...], limits: tuple[float, ...]) -
     return band
 
 
-def _send(events: DataFrame, providers: DataFrame) -> DataFrame:
-    day = F.to_date("ts").alias("day")
-    clicks = (
-        events.where(F.col("event_type") == "click")
-        .groupBy("user_id", day)
-        .agg(
-            F.min(F.when(F.col("value") >= 8, F.col("ts"))).alias("open_time"),
-            F.min(F.when((F.col("value") >= 30) | (F.col("value") < 12), F.col("ts"))).alias(
-                "click_time"
-            ),
-            F.min(F.when(F.col("value") < 5, F.col("ts"))).alias("unsub_time"),
-        )
-    )
+def _messages(events: DataFrame, providers: DataFrame) -> DataFrame:
     kind = F.when(F.col("event_type") == "view", "DIGEST").otherwise("NUDGE")
     european = F.when(F.col("country") == "EUROPE", "_EU").otherwise("")
     return (
         events.where(F.col("event_type").isin("view", "signup"))
-        .withColumn("day", F.to_date("ts"))
-        .join(clicks, ["user_id", "day"], "left")
         .join(providers, F.col("user_id") == F.col("provider"))
         .select(
             F.concat(F.lit("m"), F.col("event_id")).alias("msg_id"),
@@ -142,23 +117,38 @@ def _send(events: DataFrame, providers: DataFrame) -> DataFrame:
             F.concat(kind, european).alias("msg_type"),
             F.concat("name", F.lit("@"), F.lower("segment"), F.lit(".example")).alias("address"),
             F.col("ts").alias("sent_time"),
-            "open_time",
-            "click_time",
-            "unsub_time",
             "provider",
             "segment",
         )
     )
 
 
-def _context(send: DataFrame) -> DataFrame:
+def _send(messages: DataFrame, events: DataFrame) -> DataFrame:
+    value = F.col("value")
+    clicks = (
+        events.where(F.col("event_type") == "click")
+        .groupBy(F.col("user_id").alias("provider"), F.to_date("ts").alias("day"))
+        .agg(
+            F.min(F.when(value >= 8, F.col("ts"))).alias("open_time"),
+            F.min(F.when((value >= 30) | (value < 12), F.col("ts"))).alias("click_time"),
+            F.min(F.when(value < 5, F.col("ts"))).alias("unsub_time"),
+        )
+    )
+    return (
+        messages.withColumn("day", F.to_date("sent_time"))
+        .join(clicks, ["provider", "day"], "left")
+        .drop("day")
+    )
+
+
+def _context(messages: DataFrame) -> DataFrame:
     first = F.col("provider") * 2
     pairs = F.array(
         F.struct(F.lit("provider_id").alias("key"), F.col("provider").alias("value_int")),
         F.struct(F.lit("item_id").alias("key"), first.alias("value_int")),
         F.struct(F.lit("item_id").alias("key"), (first + 1).alias("value_int")),
     )
-    return send.select("msg_id", "region", F.inline(pairs))
+    return messages.select("msg_id", "region", F.inline(pairs))
 
 
 def _track(send: DataFrame) -> DataFrame:
@@ -228,35 +218,90 @@ def _prediction2(observation: DataFrame) -> DataFrame:
     )
 
 
-def sources(spark: SparkSession, sf_dir: str) -> Sources:
-    """All source tables of the study over one directory of sample tables."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    providers = _providers(spark, sf_dir)
-    send = _send(events, providers)
-    observation = _observation(events, providers)
-    segment = F.col("segment")
-    return Sources(
-        send=send.drop("provider", "segment"),
-        context=_context(send),
-        track=_track(send),
-        observation=observation,
-        prediction2=_prediction2(observation),
-        ontology=providers.select(
+class SampleSources:
+    """The study's source tables over one directory of sample tables, each built when asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self._spark = spark
+        self._dir = sf_dir
+
+    def _table(self, name: str) -> DataFrame:
+        return self._spark.read.schema(SCHEMAS[name]).parquet(f"{self._dir}/{name}.parquet")
+
+    @cached_property
+    def _events(self) -> DataFrame:
+        return self._table("events")
+
+    @cached_property
+    def _providers(self) -> DataFrame:
+        nation = self._table("nation")
+        return (
+            self._table("customer")
+            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(self._table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+            .select(
+                F.col("c_custkey").alias("provider"),
+                F.col("n_name").alias("region"),
+                F.col("r_name").alias("country"),
+                F.col("c_name").alias("name"),
+                F.col("c_nationkey").cast("bigint").alias("nation"),
+                F.col("c_acctbal").alias("balance"),
+                F.col("c_mktsegment").alias("segment"),
+            )
+        )
+
+    @cached_property
+    def _messages(self) -> DataFrame:
+        return _messages(self._events, self._providers)
+
+    @cached_property
+    def _sent(self) -> DataFrame:
+        return _send(self._messages, self._events)
+
+    @cached_property
+    def send(self) -> DataFrame:
+        return self._sent.drop("provider", "segment")
+
+    @cached_property
+    def context(self) -> DataFrame:
+        return _context(self._messages)
+
+    @cached_property
+    def track(self) -> DataFrame:
+        return _track(self._sent)
+
+    @cached_property
+    def observation(self) -> DataFrame:
+        return _observation(self._events, self._providers)
+
+    @cached_property
+    def prediction2(self) -> DataFrame:
+        return _prediction2(self.observation)
+
+    @cached_property
+    def ontology(self) -> DataFrame:
+        return self._providers.select(
             F.col("provider").alias("entity"),
             "region",
-            segment.alias("maker"),
+            F.col("segment").alias("maker"),
             F.col("name").alias("model"),
             (F.col("nation") + 1990).cast("int").alias("year"),
-        ),
-        site=providers.select(
-            "provider",
-            "region",
-            F.when(segment != "MACHINERY", F.col("country")).alias("country"),
-        ),
-        acct=providers.select("provider", "region", F.col("name").alias("account_id")),
-        account=providers.select(
+        )
+
+    @cached_property
+    def site(self) -> DataFrame:
+        country = F.when(F.col("segment") != "MACHINERY", F.col("country"))
+        return self._providers.select("provider", "region", country.alias("country"))
+
+    @cached_property
+    def acct(self) -> DataFrame:
+        return self._providers.select("provider", "region", F.col("name").alias("account_id"))
+
+    @cached_property
+    def account(self) -> DataFrame:
+        segment = F.col("segment")
+        return self._providers.select(
             F.col("name").alias("account_id"),
             F.when(segment != "HOUSEHOLD", segment).alias("segment"),
             F.when(F.col("balance") >= 0, "DIRECT").alias("fallback_segment"),
-        ),
-    )
+        )
