@@ -45,14 +45,22 @@ def state_at_first_change(flags: DataFrame, first: DataFrame) -> DataFrame:
     )
 
 
+def _following(at_change: DataFrame) -> DataFrame:
+    """Ratings that followed each first change, without the prices they were seen at."""
+    return at_change.select(*AREA_KEY, "first_change_date", "following_rating").distinct()
+
+
 def merge_change(flags: DataFrame, first: DataFrame, at_change: DataFrame) -> DataFrame:
     """Every trajectory row of an item that changed, with its first-change facts.
 
-    An item whose several anchor states changed has its rows once for each. The two small sides
-    are joined first, so the trajectory is shuffled once.
+    An item whose several anchor states changed has its rows once for each, and once for each
+    rating that followed: no more times than it has cycles and labels. Prices at the change stay
+    in ``at_change``; repeating the rows for each of those would be quadratic on an item with
+    many observations a day. The two small sides are joined first, so the trajectory is shuffled
+    once.
     """
     facts = first.select(*AREA_KEY, "first_change_date").join(
-        at_change.drop("row_count"), [*AREA_KEY, "first_change_date"], "left"
+        _following(at_change), [*AREA_KEY, "first_change_date"], "left"
     )
     return flags.join(facts, AREA_KEY, "inner")
 
@@ -64,11 +72,8 @@ def persistence(flags: DataFrame, at_change: DataFrame, dates: StudyDates) -> Da
     without building its rows: only matching ratings can count, so both sides are reduced to
     distinct days and ratings and joined on the rating as well.
     """
-    changes = (
-        at_change.where(F.col("first_change_date") < F.lit(dates.obs_end))
-        .select(*AREA_KEY, "first_change_date", "following_rating")
-        .distinct()
-    )
+    before_end = F.col("first_change_date") < F.lit(dates.obs_end)
+    changes = _following(at_change.where(before_end))
     days = flags.select(*AREA_KEY, "date", F.col("rating").alias("following_rating")).distinct()
     return (
         days.join(changes, [*AREA_KEY, "following_rating"], "inner")

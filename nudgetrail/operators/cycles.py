@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nudgetrail.functions.ratings import price_at_next_band, relabel_rating
@@ -17,27 +17,34 @@ from nudgetrail.sources.tables import cut
 ITEM_KEY = ["provider", "region", "item"]
 
 
-def _used_observations(observation: DataFrame, dates: StudyDates) -> DataFrame:
-    """Observations of used items in the study's days.
+def _study_days(day: Column, dates: StudyDates) -> Column:
+    """Days any stage reads: a nudge is matched on its own day and followed from there.
 
-    A nudge is matched on its own day and followed from there, so days before the nudge window
-    hold nothing any stage reads; the bound spares their scan.
+    The date joins imply this bound; written out, it reaches the scans of the daily logs.
     """
-    day = F.to_date("run_time")
     first = max(dates.obs_start, dates.nudge_start)
-    return observation.where(
-        day.between(F.lit(first), F.lit(dates.obs_end)) & (F.col("is_new") == F.lit(False))
-    )
+    return day.between(F.lit(first), F.lit(dates.obs_end))
+
+
+def _used_observations(observation: DataFrame, dates: StudyDates) -> DataFrame:
+    """Observations of used items in the study's days."""
+    used = F.col("is_new") == F.lit(False)
+    return observation.where(_study_days(F.to_date("run_time"), dates) & used)
 
 
-def _with_rating(rows: DataFrame, prediction2: DataFrame, day: str, rules: RatingRules):
+def _with_rating(
+    rows: DataFrame, prediction2: DataFrame, day: str, dates: StudyDates, rules: RatingRules
+) -> DataFrame:
     """Replaces ``rating`` by the relabelled one; ``copies`` counts repeated predictions.
 
     Predictions are first reduced to one row per item, day and label, so that copies of one are
     neither shuffled nor joined.
     """
     second = (
-        prediction2.where(F.col("country") == rules.special_country)
+        prediction2.where(
+            (F.col("country") == rules.special_country)
+            & _study_days(F.col("creation_date"), dates)
+        )
         .groupBy("item", F.col("creation_date").alias(day), "country", "base_rating")
         .agg(F.count("*").alias("copies"))
     )
@@ -78,7 +85,7 @@ def anchor_state(
     )
     joined = left_join_hot_right(cut(sends, "sends"), states, [*ITEM_KEY, "sent_date"])
     return (
-        _with_rating(joined, prediction2, "obs_date", rules)
+        _with_rating(joined, prediction2, "obs_date", dates, rules)
         .select(
             *ITEM_KEY,
             "sent_date",
@@ -133,7 +140,7 @@ def trajectory(
         ontology.select("entity", "region", "maker", "model", "year"), ["entity", "region"], "left"
     )
     return (
-        _with_rating(described, prediction2, "date", rules)
+        _with_rating(described, prediction2, "date", dates, rules)
         .groupBy(
             "item",
             "provider",
