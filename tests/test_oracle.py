@@ -2,41 +2,19 @@
 
 from __future__ import annotations
 
-import math
 import os
-import sys
-from collections import Counter
-from pathlib import Path
 
-import duckdb
 import pytest
 
-sys.path.insert(0, str(Path(__file__).parents[1]))
-
-import __spark_entry__ as contract  # noqa: E402
+import __spark_entry__ as contract
+from sampled import duck_on, oracle_rows, spark_rows
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
-TABLES = ("region", "nation", "customer", "events")
 
 
 @pytest.fixture(scope="module")
 def duck():
-    con = duckdb.connect()
-    for table in TABLES:
-        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
-    return con
-
-
-def plain(value):
-    """A value that hashes alike from either engine; NaN equals NaN."""
-    if isinstance(value, float) and math.isnan(value):
-        return "nan"
-    return value
-
-
-def multiset(columns, rows):
-    order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return Counter(tuple(plain(row[i]) for i in order) for row in rows)
+    return duck_on(SF_DIR)
 
 
 def test_every_query_has_sql():
@@ -46,12 +24,12 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("name", sorted(contract.queries()))
 def test_query_equals_sql(spark, duck, name):
     df = contract.queries()[name](spark, SF_DIR)
-    found = duck.execute(contract.oracle_sql()[name])
-    columns = [c[0] for c in found.description]
-    assert sorted(df.columns) == sorted(columns)
-    expected = multiset(columns, found.fetchall())
+    expected = oracle_rows(duck, name)
     assert expected, "an empty result checks nothing"
-    assert multiset(df.columns, [tuple(r) for r in df.collect()]) == expected
+    assert spark_rows(df) == expected
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for node in ("NestedLoopJoin", "CartesianProduct", "Python", "Pandas"):
+        assert node not in plan
 
 
 def test_entry_has_rows(spark):
