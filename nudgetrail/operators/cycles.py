@@ -12,7 +12,6 @@ from nudgetrail.functions.reporting import price_delta, price_lowered, rating_ch
 from nudgetrail.operators.joins import interval_join, left_join_hot_right
 from nudgetrail.operators.lookahead import with_next
 from nudgetrail.settings import RatingRules, StudyDates
-from nudgetrail.sources.tables import cut
 
 ITEM_KEY = ["provider", "region", "item"]
 
@@ -26,6 +25,22 @@ def _study_days(day: Column, dates: StudyDates) -> Column:
     return day.between(F.lit(first), F.lit(dates.obs_end))
 
 
+def nudged_observations(
+    observation: DataFrame, sends: DataFrame, dates: StudyDates
+) -> DataFrame:
+    """The part of the log a study reads: used items that were nudged, on the study's days.
+
+    Anchors and trajectory both read the log. Cut down to this once and written, it is scanned
+    and shuffled whole only once; both stages take it in place of the log. If the log has a
+    ``run_date`` column, the day of ``run_time`` it is partitioned by, whole partitions outside
+    the study's days are skipped.
+    """
+    if "run_date" in observation.columns:
+        observation = observation.where(_study_days(F.col("run_date"), dates))
+    nudged = sends.select(*ITEM_KEY).distinct()
+    return _used_observations(observation, dates).join(nudged, ITEM_KEY, "left_semi")
+
+
 def _used_observations(observation: DataFrame, dates: StudyDates) -> DataFrame:
     """Observations of used items in the study's days."""
     used = F.col("is_new") == F.lit(False)
@@ -67,7 +82,8 @@ def anchor_state(
     """Rating, price and next-band price of each item on the day it was nudged.
 
     One row per distinct state; a send with no observation that day is kept with NULLs.
-    ``sends`` must come from the nudge window of the same ``dates``.
+    ``sends`` must come from the nudge window of the same ``dates``. It is read twice, so pass it
+    written or cut.
     """
     day = F.to_date("run_time")
     states = (
@@ -83,7 +99,7 @@ def anchor_state(
             price_at_next_band(rules).alias("price_at_next_band"),
         )
     )
-    joined = left_join_hot_right(cut(sends, "sends"), states, [*ITEM_KEY, "sent_date"])
+    joined = left_join_hot_right(sends, states, [*ITEM_KEY, "sent_date"])
     return (
         _with_rating(joined, prediction2, "obs_date", dates, rules)
         .select(
@@ -122,7 +138,7 @@ def trajectory(
 ) -> DataFrame:
     """Each cycle expanded to its observed days: one row per distinct state, with its row count.
 
-    The log is cut down to the nudged items' cycles before anything else is joined to it.
+    The log is joined to the cycles before anything else is joined to it.
     """
     facts = _used_observations(observation, dates).select(
         *ITEM_KEY,

@@ -8,7 +8,13 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 
 from nudgetrail.operators.changes import first_change, persistence, state_at_first_change
-from nudgetrail.operators.cycles import anchor_state, flag_changes, send_cycles, trajectory
+from nudgetrail.operators.cycles import (
+    anchor_state,
+    flag_changes,
+    nudged_observations,
+    send_cycles,
+    trajectory,
+)
 from nudgetrail.operators.joins import provider_dims
 from nudgetrail.operators.messages import (
     campaign_roster,
@@ -50,6 +56,14 @@ class SourceTables:
     account: DataFrame
 
 
+@dataclass(frozen=True)
+class Nudged:
+    """The nudges of a study, and the log cut down to their items, both written."""
+
+    sends: DataFrame
+    log: DataFrame
+
+
 @dataclass(frozen=True)
 class Study:
     """One campaign's settings."""
@@ -66,16 +80,20 @@ class Study:
     def nudges(self, src: Sources, roster: DataFrame) -> DataFrame:
         return nudge_sends(src.send, src.context, roster, self.nudge, self.dates)
 
-    def anchors(self, src: Sources, roster: DataFrame) -> DataFrame:
-        engagement = send_engagement(self.nudges(src, roster))
-        return anchor_state(engagement, src.observation, src.prediction2, self.dates, self.rating)
+    def nudged(self, src: Sources, roster: DataFrame) -> Nudged:
+        sends = cut(send_engagement(self.nudges(src, roster)), "sends")
+        log = cut(nudged_observations(src.observation, sends, self.dates), "log")
+        return Nudged(sends, log)
+
+    def anchors(self, src: Sources, nudged: Nudged) -> DataFrame:
+        return anchor_state(nudged.sends, nudged.log, src.prediction2, self.dates, self.rating)
 
-    def cycles(self, src: Sources, roster: DataFrame) -> DataFrame:
-        return send_cycles(self.anchors(src, roster), self.dates)
+    def cycles(self, src: Sources, nudged: Nudged) -> DataFrame:
+        return send_cycles(self.anchors(src, nudged), self.dates)
 
-    def trajectory(self, src: Sources, cycles: DataFrame) -> DataFrame:
+    def trajectory(self, src: Sources, nudged: Nudged, cycles: DataFrame) -> DataFrame:
         return trajectory(
-            src.observation, src.ontology, src.prediction2, cycles, self.dates, self.rating
+            nudged.log, src.ontology, src.prediction2, cycles, self.dates, self.rating
         )
 
     def persistent(self, flags: DataFrame) -> DataFrame:
@@ -119,8 +137,9 @@ def run_study(
         return cut(df, name) if target is None else write_result(df, target + name, end)
 
     roster = keep(study.roster(src), "roster", "")
-    anchors = keep(study.cycles(src, roster), "anchors")
-    flags = keep(flag_changes(study.trajectory(src, anchors)), "flags")
+    nudged = study.nudged(src, roster)
+    anchors = keep(study.cycles(src, nudged), "anchors")
+    flags = keep(flag_changes(study.trajectory(src, nudged, anchors)), "flags")
     persistent = keep(study.persistent(flags), "persistent")
 
     dims = provider_dims(src.site, src.acct, src.account)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from nudgetrail.functions import ratings
 from nudgetrail.operators import changes, cycles, joins, messages, report
 from nudgetrail.operators.lookahead import with_next
-from nudgetrail.plans.study import Sources
+from nudgetrail.plans.study import Nudged, Sources
 from nudgetrail.sources.standins import (
     CAMPAIGN_ROWS,
     DATES,
@@ -25,9 +25,17 @@ from nudgetrail.sources.tables import cut
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _nudged(src: Sources) -> Nudged:
+    return STUDY.nudged(src, STUDY.roster(src))
+
+
+def _trajectory(src: Sources) -> DataFrame:
+    nudged = _nudged(src)
+    return STUDY.trajectory(src, nudged, STUDY.cycles(src, nudged))
+
+
 def _flags(src: Sources) -> DataFrame:
-    roster = STUDY.roster(src)
-    return cycles.flag_changes(STUDY.trajectory(src, STUDY.cycles(src, roster)))
+    return cycles.flag_changes(_trajectory(src))
 
 
 def _persistent(src: Sources) -> DataFrame:
@@ -121,12 +129,12 @@ def price_at_next_band(spark, sf_dir):
 
 def anchor_state(spark, sf_dir):
     src = SampleSources(spark, sf_dir)
-    return STUDY.anchors(src, STUDY.roster(src))
+    return STUDY.anchors(src, _nudged(src))
 
 
 def send_cycles(spark, sf_dir):
     src = SampleSources(spark, sf_dir)
-    return STUDY.cycles(src, STUDY.roster(src))
+    return STUDY.cycles(src, _nudged(src))
 
 
 def next_observation(spark, sf_dir):
@@ -158,8 +166,7 @@ def interval_join(spark, sf_dir):
 
 
 def trajectory(spark, sf_dir):
-    src = SampleSources(spark, sf_dir)
-    return STUDY.trajectory(src, STUDY.cycles(src, STUDY.roster(src)))
+    return _trajectory(SampleSources(spark, sf_dir))
 
 
 def flag_changes(spark, sf_dir):

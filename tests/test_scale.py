@@ -6,11 +6,14 @@ import shutil
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from nudgetrail.operators import joins
+from nudgetrail.operators.cycles import nudged_observations
+from nudgetrail.plans.study import Nudged
 from nudgetrail.queries import QUERIES
-from nudgetrail.sources.standins import STUDY, SampleSources
+from nudgetrail.sources.standins import DATES, STUDY, SampleSources
 from sampled import duck_on, oracle_rows, spark_rows
 
 SAMPLE = "/root/testdata/sf0.01"
@@ -75,17 +78,21 @@ def test_hot_key_gives_the_same_result(splitting, hot_dir, name):
     assert spark_rows(contract.queries()[name](splitting, hot_dir)) == expected
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hot_key_is_split_in_the_interval_join(splitting, hot_dir):
     df = contract.queries()["interval_join"](splitting, hot_dir)
     df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
+    plan = _plan(df)
     assert "SortMergeJoin(skew=true) [provider" in plan
     assert "__bucket" in plan
 
 
 def test_look_ahead_window_sees_one_row_per_order_value(splitting, hot_dir):
     df = contract.queries()["next_observation"](splitting, hot_dir)
-    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    lines = _plan(df).splitlines()
     window = next(i for i, line in enumerate(lines) if "Window [lead" in line)
     below = "\n".join(lines[window : window + 6])
     assert "partial_max" not in below
@@ -94,12 +101,28 @@ def test_look_ahead_window_sees_one_row_per_order_value(splitting, hot_dir):
 
 def test_date_bounds_reach_the_scans(spark):
     src = SampleSources(spark, SAMPLE)
-    plan = STUDY.trajectory(src, QUERIES["send_cycles"](spark, SAMPLE))
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    scans = [s for s in text.splitlines() if "FileScan" in s and "events.parquet" in s]
-    assert len(scans) == 2, "the log once as observations, once as predictions"
-    assert all("GreaterThanOrEqual(ts," in scan for scan in scans)
-    assert text.count(">= 2024-01-04 00:00:00") == 2
+    sends = spark.createDataFrame([], "provider bigint, region string, item bigint")
+    log = nudged_observations(src.observation, sends, DATES)
+    assert "PushedFilters" in _plan(log)
+    assert "GreaterThanOrEqual(ts," in _plan(log)
+    assert ">= 2024-01-04 00:00:00" in _plan(log)
+    states = STUDY.anchors(src, Nudged(QUERIES["send_engagement"](spark, SAMPLE), src.observation))
+    scans = [s for s in _plan(states).splitlines() if "FileScan" in s and "events.parquet" in s]
+    assert any("GreaterThanOrEqual(ts," in s for s in scans), "predictions, too"
+
+
+def test_days_outside_the_study_are_not_read(spark, tmp_path):
+    src = SampleSources(spark, SAMPLE)
+    path = f"{tmp_path}/log"
+    src.observation.withColumn("run_date", F.to_date("run_time")).write.partitionBy(
+        "run_date"
+    ).parquet(path)
+    sends = QUERIES["send_engagement"](spark, SAMPLE)
+    log = nudged_observations(spark.read.parquet(path), sends, DATES)
+    plan = _plan(log)
+    assert "PartitionFilters: [isnotnull(run_date" in plan
+    plain = nudged_observations(src.observation, sends, DATES)
+    assert spark_rows(log.drop("run_date").select(*plain.columns)) == spark_rows(plain)
 
 
 def test_hot_right_side_is_read_once(spark, tmp_path):
@@ -108,4 +131,4 @@ def test_hot_right_side_is_read_once(spark, tmp_path):
     found = joins.left_join_hot_right(left, right, ["k"])
     expected = left.join(right, "k", "left")
     assert spark_rows(found.select(*expected.columns)) == spark_rows(expected)
-    assert "Range" not in found._jdf.queryExecution().executedPlan().toString()
+    assert "Range" not in _plan(found)
