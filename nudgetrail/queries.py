@@ -1,10 +1,11 @@
-"""One named query per operator, over the stand-in tables."""
+"""One named query per operator, over the sample tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nudgetrail.functions import ratings
@@ -22,88 +23,79 @@ from nudgetrail.sources.standins import (
 )
 from nudgetrail.sources.tables import cut
 
-Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-def _nudged(src: Sources) -> Nudged:
-    return STUDY.nudged(src, STUDY.roster(src))
-
-
-def _trajectory(src: Sources) -> DataFrame:
-    nudged = _nudged(src)
-    return STUDY.trajectory(src, nudged, STUDY.cycles(src, nudged))
+def query(build: Callable[[Sources], DataFrame]) -> Callable[[Sources], DataFrame]:
+    """Registers a query under its function's name."""
+    QUERIES[build.__name__] = lambda spark, sf_dir: build(SampleSources(spark, sf_dir))
+    return build
 
 
-def _flags(src: Sources) -> DataFrame:
-    return cycles.flag_changes(_trajectory(src))
-
-
-def _persistent(src: Sources) -> DataFrame:
-    return STUDY.persistent(cut(_flags(src), "flags"))
+def _nudged(src: Sources) -> Nudged:
+    return STUDY.nudged(src, STUDY.roster(src))
 
 
 def _dims(src: Sources) -> DataFrame:
     return joins.provider_dims(src.site, src.acct, src.account)
 
 
-def _summary(src: Sources, **options) -> DataFrame:
-    return report.pre_post_summary(_persistent(src), _dims(src), DATES, LABELS, **options)
-
-
-def _observed(src: Sources, *extra) -> DataFrame:
+def _observed(src: Sources, *extra: str | Column) -> DataFrame:
     return src.observation.select("item", "provider", "run_time", "price", *extra)
 
 
-def campaign_roster(spark, sf_dir):
-    return STUDY.roster(SampleSources(spark, sf_dir))
+@query
+def campaign_roster(src: Sources) -> DataFrame:
+    return STUDY.roster(src)
 
 
-def campaign_roster_rows(spark, sf_dir):
-    src = SampleSources(spark, sf_dir)
+@query
+def campaign_roster_rows(src: Sources) -> DataFrame:
     return messages.campaign_roster_rows(src.send, src.context, src.track, CAMPAIGN_ROWS, DATES)
 
 
-def opener_count(spark, sf_dir):
-    return messages.opener_count(campaign_roster(spark, sf_dir))
+@query
+def opener_count(src: Sources) -> DataFrame:
+    return messages.opener_count(campaign_roster(src))
 
 
-def roster_qa(spark, sf_dir):
-    return messages.roster_qa(campaign_roster(spark, sf_dir))
+@query
+def roster_qa(src: Sources) -> DataFrame:
+    return messages.roster_qa(campaign_roster(src))
 
 
-def eav_lookup(spark, sf_dir):
+@query
+def eav_lookup(src: Sources) -> DataFrame:
     """Provider and items of every message."""
-    context = SampleSources(spark, sf_dir).context
-    provider = joins.eav_lookup(context, NUDGE.provider_key, "provider")
-    item = joins.eav_lookup(context, NUDGE.item_key, "item").drop("region")
+    provider = joins.eav_lookup(src.context, NUDGE.provider_key, "provider")
+    item = joins.eav_lookup(src.context, NUDGE.item_key, "item").drop("region")
     return provider.join(item, "msg_id")
 
 
-def nudge_sends(spark, sf_dir):
-    src = SampleSources(spark, sf_dir)
+@query
+def nudge_sends(src: Sources) -> DataFrame:
     return STUDY.nudges(src, STUDY.roster(src))
 
 
-def nudge_sends_to_openers(spark, sf_dir):
-    src = SampleSources(spark, sf_dir)
-    spec = type(NUDGE)(
-        message_types=NUDGE.message_types,
-        provider_key=NUDGE.provider_key,
-        item_key=NUDGE.item_key,
+@query
+def nudge_sends_to_openers(src: Sources) -> DataFrame:
+    spec = replace(
+        NUDGE,
         exclude_pattern="%@machinery.%",
         exclude_on="address",
         match_region=True,
         member="opened",
     )
-    return messages.nudge_sends(src.send, src.context, STUDY.roster(src), spec, DATES)
+    return replace(STUDY, nudge=spec).nudges(src, STUDY.roster(src))
 
 
-def send_engagement(spark, sf_dir):
-    return messages.send_engagement(nudge_sends(spark, sf_dir))
+@query
+def send_engagement(src: Sources) -> DataFrame:
+    return messages.send_engagement(nudge_sends(src))
 
 
-def rating_relabel(spark, sf_dir):
-    src = SampleSources(spark, sf_dir)
+@query
+def rating_relabel(src: Sources) -> DataFrame:
     second = src.prediction2.withColumnRenamed("creation_date", "date")
     rows = _observed(src, "country", "rating", F.to_date("run_time").alias("date"))
     label = ratings.relabel_rating(
@@ -112,34 +104,43 @@ def rating_relabel(spark, sf_dir):
     return rows.join(second, ["item", "date", "country"], "left").withColumn("label", label)
 
 
-def display_label(spark, sf_dir):
+@query
+def display_label(src: Sources) -> DataFrame:
     label = ratings.display_label(F.col("final_rating"), RATING.display)
-    return _observed(SampleSources(spark, sf_dir), "final_rating", label.alias("label"))
+    return _observed(src, "final_rating", label.alias("label"))
 
 
-def next_band_cutoff(spark, sf_dir):
+@query
+def next_band_cutoff(src: Sources) -> DataFrame:
     cutoff = ratings.next_band_cutoff(F.col("country"), F.col("final_score"), RATING.bands)
-    return _observed(SampleSources(spark, sf_dir), "country", "final_score", cutoff.alias("cutoff"))
+    return _observed(src, "country", "final_score", cutoff.alias("cutoff"))
 
 
-def price_at_next_band(spark, sf_dir):
+@query
+def price_at_next_band(src: Sources) -> DataFrame:
     price = ratings.price_at_next_band(RATING).alias("price_at_next_band")
-    return _observed(SampleSources(spark, sf_dir), "country", "final_score", price)
+    return _observed(src, "country", "final_score", price)
+
+
+@query
+def nudged_observations(src: Sources) -> DataFrame:
+    return cycles.nudged_observations(src.observation, send_engagement(src), DATES)
 
 
-def anchor_state(spark, sf_dir):
-    src = SampleSources(spark, sf_dir)
+@query
+def anchor_state(src: Sources) -> DataFrame:
     return STUDY.anchors(src, _nudged(src))
 
 
-def send_cycles(spark, sf_dir):
-    src = SampleSources(spark, sf_dir)
+@query
+def send_cycles(src: Sources) -> DataFrame:
     return STUDY.cycles(src, _nudged(src))
 
 
-def next_observation(spark, sf_dir):
+@query
+def next_observation(src: Sources) -> DataFrame:
     """The look-ahead alone, over the whole log: each item's next rating in its region."""
-    rows = SampleSources(spark, sf_dir).observation.select(
+    rows = src.observation.select(
         "provider", "region", "item", "area", F.to_date("run_time").alias("date"), "rating", "price"
     )
     return with_next(
@@ -151,12 +152,10 @@ def next_observation(spark, sf_dir):
     )
 
 
-def interval_join(spark, sf_dir):
-    """Every observation inside a cycle of its item."""
-    src = SampleSources(spark, sf_dir)
-    spans = send_cycles(spark, sf_dir).select(
-        *cycles.ITEM_KEY, "sent_date", "obs_date", "next_sent_date"
-    )
+@query
+def interval_join(src: Sources) -> DataFrame:
+    """The join alone, over the whole log: every observation inside a cycle of its item."""
+    spans = send_cycles(src).select(*cycles.ITEM_KEY, "sent_date", "obs_date", "next_sent_date")
     facts = src.observation.select(
         *cycles.ITEM_KEY, "run_time", "price", F.to_date("run_time").alias("date")
     )
@@ -165,105 +164,84 @@ def interval_join(spark, sf_dir):
     )
 
 
-def trajectory(spark, sf_dir):
-    return _trajectory(SampleSources(spark, sf_dir))
+@query
+def trajectory(src: Sources) -> DataFrame:
+    nudged = _nudged(src)
+    return STUDY.trajectory(src, nudged, STUDY.cycles(src, nudged))
 
 
-def flag_changes(spark, sf_dir):
-    return _flags(SampleSources(spark, sf_dir))
+@query
+def flag_changes(src: Sources) -> DataFrame:
+    return cycles.flag_changes(trajectory(src))
 
 
-def flag_changes_by_region(spark, sf_dir):
-    return cycles.flag_changes(trajectory(spark, sf_dir), cycles.ITEM_KEY)
+@query
+def flag_changes_by_region(src: Sources) -> DataFrame:
+    return cycles.flag_changes(trajectory(src), cycles.ITEM_KEY)
 
 
-def first_change(spark, sf_dir):
-    return changes.first_change(flag_changes(spark, sf_dir))
+@query
+def first_change(src: Sources) -> DataFrame:
+    return changes.first_change(flag_changes(src))
 
 
-def state_at_first_change(spark, sf_dir):
-    flags = cut(flag_changes(spark, sf_dir), "flags")
+@query
+def state_at_first_change(src: Sources) -> DataFrame:
+    flags = cut(flag_changes(src), "flags")
     return changes.state_at_first_change(flags, changes.first_change(flags))
 
 
-def merge_change(spark, sf_dir):
-    flags = cut(flag_changes(spark, sf_dir), "flags")
+@query
+def merge_change(src: Sources) -> DataFrame:
+    flags = cut(flag_changes(src), "flags")
     first = changes.first_change(flags)
     return changes.merge_change(flags, first, changes.state_at_first_change(flags, first))
 
 
-def persistence(spark, sf_dir):
-    return _persistent(SampleSources(spark, sf_dir))
+@query
+def persistence(src: Sources) -> DataFrame:
+    return STUDY.persistent(cut(flag_changes(src), "flags"))
 
 
-def pre_post_summary(spark, sf_dir):
-    return _summary(SampleSources(spark, sf_dir))
+def _summary(src: Sources, **options) -> DataFrame:
+    return report.pre_post_summary(persistence(src), _dims(src), DATES, LABELS, **options)
+
+
+@query
+def pre_post_summary(src: Sources) -> DataFrame:
+    return _summary(src)
 
 
-def pre_post_summary_by_segment(spark, sf_dir):
-    return _summary(SampleSources(spark, sf_dir), by_country=False, use_fallback=False)
+@query
+def pre_post_summary_by_segment(src: Sources) -> DataFrame:
+    return _summary(src, by_country=False, use_fallback=False)
 
 
-def pre_post_summary_by_provider(spark, sf_dir):
-    return _summary(SampleSources(spark, sf_dir), grain="provider")
+@query
+def pre_post_summary_by_provider(src: Sources) -> DataFrame:
+    return _summary(src, grain="provider")
 
 
-def country_filter_summary(spark, sf_dir):
-    return _summary(SampleSources(spark, sf_dir), country="Europe")
+@query
+def country_filter_summary(src: Sources) -> DataFrame:
+    return _summary(src, country="Europe")
 
 
-def audience_size(spark, sf_dir):
-    src = SampleSources(spark, sf_dir)
+@query
+def audience_size(src: Sources) -> DataFrame:
     return report.audience_size(STUDY.roster(src), _dims(src), LABELS)
 
 
-def audience_size_by_segment(spark, sf_dir):
-    src = SampleSources(spark, sf_dir)
+@query
+def audience_size_by_segment(src: Sources) -> DataFrame:
     return report.audience_size(
         STUDY.roster(src), _dims(src), LABELS, by_country=False, use_fallback=False
     )
 
 
-def changed_share(spark, sf_dir):
-    src = SampleSources(spark, sf_dir)
+@query
+def changed_share(src: Sources) -> DataFrame:
     audience = report.audience_size(
         STUDY.roster(src), _dims(src), LABELS, provider_key=("provider", "region")
     )
     return report.changed_share(_summary(src), audience)
-
-
-QUERIES: dict[str, Query] = {
-    query.__name__: query
-    for query in (
-        campaign_roster,
-        campaign_roster_rows,
-        opener_count,
-        roster_qa,
-        eav_lookup,
-        nudge_sends,
-        nudge_sends_to_openers,
-        send_engagement,
-        rating_relabel,
-        display_label,
-        next_band_cutoff,
-        price_at_next_band,
-        anchor_state,
-        send_cycles,
-        next_observation,
-        interval_join,
-        trajectory,
-        flag_changes,
-        flag_changes_by_region,
-        first_change,
-        state_at_first_change,
-        merge_change,
-        persistence,
-        pre_post_summary,
-        pre_post_summary_by_segment,
-        pre_post_summary_by_provider,
-        country_filter_summary,
-        audience_size,
-        audience_size_by_segment,
-        changed_share,
-    )
-}
