@@ -44,7 +44,7 @@ def pre_post_summary(
 
     PRE and POST go by the date of the change. ``grain="provider"`` adds provider and region to
     the groups; ``country`` keeps one country label. ``by_country=False, use_fallback=False`` is
-    the earlier form of the report. Ordered by group, descending, NULLs first.
+    the earlier form of the report. Ordered by the first two columns, descending, NULLs first.
     """
     if grain not in ("segment", "provider"):
         raise ValueError("grain must be 'segment' or 'provider'")
@@ -53,10 +53,10 @@ def pre_post_summary(
     )
     if country is not None:
         rows = rows.where(F.col("country") == country)
-    groups = _by(by_country)
     detail = ["provider", "region"] if grain == "provider" else []
+    groups = [*detail, *_by(by_country), "time_period"]
     return (
-        rows.groupBy(*detail, *groups, "time_period")
+        rows.groupBy(*groups)
         .agg(
             F.count_distinct("provider", "region", "item", "area", "first_change_date").alias(
                 "changed_items"
@@ -64,7 +64,7 @@ def pre_post_summary(
             F.count_distinct("provider", "region").alias("changed_providers"),
         )
         .withColumn("items_per_provider", F.try_divide("changed_items", "changed_providers"))
-        .orderBy(*[F.col(c).desc_nulls_first() for c in groups])
+        .orderBy(*[F.col(c).desc_nulls_first() for c in groups[:2]])
     )
 
 

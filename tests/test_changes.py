@@ -157,13 +157,25 @@ def test_summary_labels_periods_and_counts(spark):
 
 
 def test_summary_is_ordered_with_nulls_first(spark):
-    found = pre_post_summary(
-        persistent(spark), dims_of(spark), DATES, LABELS, by_country=False
-    ).collect()
-    segments = [r["segment"] for r in found]
-    assert segments[0] is None
-    named = [s for s in segments if s is not None]
-    assert named == sorted(named, reverse=True)
+    df, dims = persistent(spark), dims_of(spark)
+    found = pre_post_summary(df, dims, DATES, LABELS).collect()
+    assert [(r["country"], r["segment"]) for r in found] == [
+        ("Other", None),
+        ("Home", None),
+        ("Away", "SMALL"),
+        ("Away", "BIG"),
+        ("Away", "BIG"),
+    ]
+    by_segment = pre_post_summary(df, dims, DATES, LABELS, by_country=False).collect()
+    assert [(r["segment"], r["time_period"]) for r in by_segment] == [
+        (None, "POST"),
+        ("SMALL", "POST"),
+        ("BIG", "PRE"),
+        ("BIG", "POST"),
+    ]
+    by_provider = pre_post_summary(df, dims, DATES, LABELS, grain="provider").collect()
+    providers = [r["provider"] for r in by_provider]
+    assert providers == sorted(providers, reverse=True)
 
 
 def test_summary_options(spark):

@@ -1,4 +1,7 @@
 from datetime import date
+from decimal import Decimal
+
+from pyspark.sql import functions as F
 
 from frames import DATES, RATING, day, frame, noon, rows
 from nudgetrail.operators.cycles import anchor_state, flag_changes, send_cycles, trajectory
@@ -195,6 +198,21 @@ def test_change_needs_lower_price_other_rating_and_an_open(spark):
     ]
 
 
+def test_decimal_prices_stay_decimal(spark):
+    states = frame(
+        spark,
+        "states",
+        {"date": day(6), "price": 90.1, "rating": "GOOD", "sent_date": day(5)},
+        {"date": day(7), "price": None, "rating": "GOOD", "sent_date": day(5)},
+    )
+    for column in ("price", "original_price"):
+        states = states.withColumn(column, F.col(column).cast("decimal(18,2)"))
+    found = flag_changes(states)
+    assert rows(found, "date", "price_delta", "attributed_change") == [
+        (day(6), Decimal("-9.90"), True), (day(7), Decimal(0), False),
+    ]
+
+
 def test_look_ahead_crosses_regions_unless_told_not_to(spark):
     states = (
         {"date": day(6), "rating": "A"},

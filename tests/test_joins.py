@@ -77,4 +77,8 @@ def test_null_safe_join_matches_nulls_and_keeps_left_keys(spark):
     right = spark.createDataFrame([(None, 10), ("x", 20)], "k string, b int")
     found = null_safe_join(left, right, ["k"], "left")
     assert found.columns == ["k", "a", "b"]
-    assert sorted(found.collect(), key=lambda r: r.a) == [(None, 1, 10), ("x", 2, 20), ("y", 3, None)]
+    assert [tuple(r) for r in found.orderBy("a").collect()] == [
+        (None, 1, 10),
+        ("x", 2, 20),
+        ("y", 3, None),
+    ]
