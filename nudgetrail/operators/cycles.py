@@ -37,7 +37,9 @@ def nudged_observations(
     """
     if "run_date" in observation.columns:
         observation = observation.where(_study_days(F.col("run_date"), dates))
-    nudged = sends.select(*ITEM_KEY).distinct()
+    # Not made distinct: a semi join needs no distinct keys, and a side that comes straight from
+    # its shuffle lets Spark split the other.
+    nudged = sends.select(*ITEM_KEY)
     return _used_observations(observation, dates).join(nudged, ITEM_KEY, "left_semi")
 
 
@@ -47,22 +49,30 @@ def _used_observations(observation: DataFrame, dates: StudyDates) -> DataFrame:
     return observation.where(_study_days(F.to_date("run_time"), dates) & used)
 
 
-def _with_rating(
-    rows: DataFrame, prediction2: DataFrame, day: str, dates: StudyDates, rules: RatingRules
+def nudged_predictions(
+    prediction2: DataFrame, sends: DataFrame, dates: StudyDates, rules: RatingRules
 ) -> DataFrame:
-    """Replaces ``rating`` by the relabelled one; ``copies`` counts repeated predictions.
+    """The second model's ratings a study reads, and how many ``copies`` there are of each.
 
-    Predictions are first reduced to one row per item, day and label, so that copies of one are
-    neither shuffled nor joined.
+    One row per nudged item, day and label, so that an item-day has no more rows than there are
+    labels. Like the cut-down log it is read by two stages, and is best written first.
     """
-    second = (
+    return (
         prediction2.where(
             (F.col("country") == rules.special_country)
             & _study_days(F.col("creation_date"), dates)
         )
-        .groupBy("item", F.col("creation_date").alias(day), "country", "base_rating")
+        .join(sends.select("item"), "item", "left_semi")
+        .groupBy("item", "creation_date", "country", "base_rating")
         .agg(F.count("*").alias("copies"))
     )
+
+
+def _with_rating(
+    rows: DataFrame, predictions: DataFrame, day: str, rules: RatingRules
+) -> DataFrame:
+    """Replaces ``rating`` by the relabelled one; ``copies`` counts repeated predictions."""
+    second = predictions.withColumnRenamed("creation_date", day)
     rating = relabel_rating(F.col("country"), F.col("base_rating"), F.col("rating"), rules)
     return (
         rows.join(second, ["item", day, "country"], "left")
@@ -75,15 +85,15 @@ def _with_rating(
 def anchor_state(
     sends: DataFrame,
     observation: DataFrame,
-    prediction2: DataFrame,
+    predictions: DataFrame,
     dates: StudyDates,
     rules: RatingRules,
 ) -> DataFrame:
     """Rating, price and next-band price of each item on the day it was nudged.
 
     One row per distinct state; a send with no observation that day is kept with NULLs.
-    ``sends`` must come from the nudge window of the same ``dates``. It is read twice, so pass it
-    written or cut.
+    ``predictions`` are those of ``nudged_predictions``. ``sends`` must come from the nudge window
+    of the same ``dates``; it is read twice, so pass it written or cut.
     """
     day = F.to_date("run_time")
     states = (
@@ -101,7 +111,7 @@ def anchor_state(
     )
     joined = left_join_hot_right(sends, states, [*ITEM_KEY, "sent_date"])
     return (
-        _with_rating(joined, prediction2, "obs_date", dates, rules)
+        _with_rating(joined, predictions, "obs_date", rules)
         .select(
             *ITEM_KEY,
             "sent_date",
@@ -130,7 +140,7 @@ def send_cycles(anchors: DataFrame, dates: StudyDates) -> DataFrame:
 def trajectory(
     observation: DataFrame,
     ontology: DataFrame,
-    prediction2: DataFrame,
+    predictions: DataFrame,
     cycles: DataFrame,
     dates: StudyDates,
     rules: RatingRules,
@@ -156,7 +166,7 @@ def trajectory(
         ontology.select("entity", "region", "maker", "model", "year"), ["entity", "region"], "left"
     )
     return (
-        _with_rating(described, prediction2, "date", dates, rules)
+        _with_rating(described, predictions, "date", rules)
         .groupBy(
             "item",
             "provider",

@@ -12,6 +12,7 @@ from nudgetrail.operators.cycles import (
     anchor_state,
     flag_changes,
     nudged_observations,
+    nudged_predictions,
     send_cycles,
     trajectory,
 )
@@ -58,10 +59,11 @@ class SourceTables:
 
 @dataclass(frozen=True)
 class Nudged:
-    """The nudges of a study, and the log cut down to their items, both written."""
+    """The nudges of a study, and the log and predictions cut down to their items, all written."""
 
     sends: DataFrame
     log: DataFrame
+    predictions: DataFrame
 
 
 @dataclass(frozen=True)
@@ -82,18 +84,21 @@ class Study:
 
     def nudged(self, src: Sources, roster: DataFrame) -> Nudged:
         sends = cut(send_engagement(self.nudges(src, roster)), "sends")
-        log = cut(nudged_observations(src.observation, sends, self.dates), "log")
-        return Nudged(sends, log)
+        log = nudged_observations(src.observation, sends, self.dates)
+        predictions = nudged_predictions(src.prediction2, sends, self.dates, self.rating)
+        return Nudged(sends, cut(log, "log"), cut(predictions, "predictions"))
 
-    def anchors(self, src: Sources, nudged: Nudged) -> DataFrame:
-        return anchor_state(nudged.sends, nudged.log, src.prediction2, self.dates, self.rating)
+    def anchors(self, nudged: Nudged) -> DataFrame:
+        return anchor_state(
+            nudged.sends, nudged.log, nudged.predictions, self.dates, self.rating
+        )
 
-    def cycles(self, src: Sources, nudged: Nudged) -> DataFrame:
-        return send_cycles(self.anchors(src, nudged), self.dates)
+    def cycles(self, nudged: Nudged) -> DataFrame:
+        return send_cycles(self.anchors(nudged), self.dates)
 
     def trajectory(self, src: Sources, nudged: Nudged, cycles: DataFrame) -> DataFrame:
         return trajectory(
-            nudged.log, src.ontology, src.prediction2, cycles, self.dates, self.rating
+            nudged.log, src.ontology, nudged.predictions, cycles, self.dates, self.rating
         )
 
     def persistent(self, flags: DataFrame) -> DataFrame:
@@ -138,7 +143,7 @@ def run_study(
 
     roster = keep(study.roster(src), "roster", "")
     nudged = study.nudged(src, roster)
-    anchors = keep(study.cycles(src, nudged), "anchors")
+    anchors = keep(study.cycles(nudged), "anchors")
     flags = keep(flag_changes(study.trajectory(src, nudged, anchors)), "flags")
     persistent = keep(study.persistent(flags), "persistent")
 

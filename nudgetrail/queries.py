@@ -127,14 +127,19 @@ def nudged_observations(src: Sources) -> DataFrame:
     return cycles.nudged_observations(src.observation, send_engagement(src), DATES)
 
 
+@query
+def nudged_predictions(src: Sources) -> DataFrame:
+    return cycles.nudged_predictions(src.prediction2, send_engagement(src), DATES, RATING)
+
+
 @query
 def anchor_state(src: Sources) -> DataFrame:
-    return STUDY.anchors(src, _nudged(src))
+    return STUDY.anchors(_nudged(src))
 
 
 @query
 def send_cycles(src: Sources) -> DataFrame:
-    return STUDY.cycles(src, _nudged(src))
+    return STUDY.cycles(_nudged(src))
 
 
 @query
@@ -167,7 +172,7 @@ def interval_join(src: Sources) -> DataFrame:
 @query
 def trajectory(src: Sources) -> DataFrame:
     nudged = _nudged(src)
-    return STUDY.trajectory(src, nudged, STUDY.cycles(src, nudged))
+    return STUDY.trajectory(src, nudged, STUDY.cycles(nudged))
 
 
 @query

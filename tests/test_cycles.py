@@ -4,31 +4,35 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from frames import DATES, RATING, day, frame, noon, rows
-from nudgetrail.operators.cycles import anchor_state, flag_changes, send_cycles, trajectory
+from nudgetrail.operators.cycles import (
+    anchor_state,
+    flag_changes,
+    nudged_predictions,
+    send_cycles,
+    trajectory,
+)
 from nudgetrail.operators.joins import interval_join
 
 ANCHOR = ("item", "sent_date", "obs_date", "original_rating", "original_price")
 
 
-def anchors_of(spark, sends, observation, prediction2=()):
-    return anchor_state(
-        frame(spark, "sends", *sends),
-        frame(spark, "observation", *observation),
-        frame(spark, "prediction2", *prediction2),
-        DATES,
-        RATING,
+def inputs(spark, sends, observation, prediction2):
+    sends = frame(spark, "sends", *sends)
+    predictions = nudged_predictions(
+        frame(spark, "prediction2", *prediction2), sends, DATES, RATING
     )
+    return sends, frame(spark, "observation", *observation), predictions
+
+
+def anchors_of(spark, sends, observation, prediction2=()):
+    return anchor_state(*inputs(spark, sends, observation, prediction2), DATES, RATING)
 
 
 def trajectory_of(spark, sends, observation, prediction2=(), ontology=()):
-    return trajectory(
-        frame(spark, "observation", *observation),
-        frame(spark, "ontology", *ontology),
-        frame(spark, "prediction2", *prediction2),
-        send_cycles(anchors_of(spark, sends, observation, prediction2), DATES),
-        DATES,
-        RATING,
-    )
+    sends, log, predictions = inputs(spark, sends, observation, prediction2)
+    cycles = send_cycles(anchor_state(sends, log, predictions, DATES, RATING), DATES)
+    dims = frame(spark, "ontology", *ontology)
+    return trajectory(log, dims, predictions, cycles, DATES, RATING)
 
 
 def test_send_without_observation_is_kept_with_nulls(spark):

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from nudgetrail.operators import joins
-from nudgetrail.operators.cycles import nudged_observations
+from nudgetrail.operators.cycles import flag_changes, nudged_observations, nudged_predictions
 from nudgetrail.plans.study import Nudged
 from nudgetrail.queries import QUERIES
-from nudgetrail.sources.standins import DATES, STUDY, SampleSources
+from nudgetrail.sources.standins import DATES, RATING, STUDY, SampleSources
+from nudgetrail.sources.tables import cut
 from sampled import duck_on, oracle_rows, spark_rows
 
 SAMPLE = "/root/testdata/sf0.01"
@@ -82,12 +83,28 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_hot_key_is_split_in_the_interval_join(splitting, hot_dir):
-    df = contract.queries()["interval_join"](splitting, hot_dir)
+def _ran(df) -> str:
+    """The final plan, as it was after running."""
     df.collect()
-    plan = _plan(df)
-    assert "SortMergeJoin(skew=true) [provider" in plan
-    assert "__bucket" in plan
+    return _plan(df).split("== Initial Plan ==")[0]
+
+
+def test_hot_key_is_split_where_the_log_is_joined(splitting, hot_dir):
+    src = SampleSources(splitting, hot_dir)
+    sends = cut(QUERIES["send_engagement"](splitting, hot_dir), "sends")
+    log = cut(src.observation, "log")
+    nudged = nudged_observations(log, sends, DATES)
+    assert "SortMergeJoin(skew=true) [provider" in _ran(nudged)
+
+    cycles = cut(QUERIES["send_cycles"](splitting, hot_dir), "cycles")
+    predictions = cut(nudged_predictions(src.prediction2, sends, DATES, RATING), "predictions")
+    states = STUDY.trajectory(src, Nudged(sends, log, predictions), cycles)
+    split = [line for line in _ran(states).splitlines() if "SortMergeJoin(skew=true)" in line]
+    assert any("__bucket" in line for line in split)
+    assert any("entity" in line for line in split)
+
+    flags = flag_changes(cut(states, "states"))
+    assert "SortMergeJoin(skew=true)" in _ran(flags)
 
 
 def test_look_ahead_window_sees_one_row_per_order_value(splitting, hot_dir):
@@ -106,9 +123,8 @@ def test_date_bounds_reach_the_scans(spark):
     assert "PushedFilters" in _plan(log)
     assert "GreaterThanOrEqual(ts," in _plan(log)
     assert ">= 2024-01-04 00:00:00" in _plan(log)
-    states = STUDY.anchors(src, Nudged(QUERIES["send_engagement"](spark, SAMPLE), src.observation))
-    scans = [s for s in _plan(states).splitlines() if "FileScan" in s and "events.parquet" in s]
-    assert any("GreaterThanOrEqual(ts," in s for s in scans), "predictions, too"
+    predictions = nudged_predictions(src.prediction2, sends, DATES, RATING)
+    assert "GreaterThanOrEqual(ts," in _plan(predictions)
 
 
 def test_days_outside_the_study_are_not_read(spark, tmp_path):
