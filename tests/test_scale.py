@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from nudgetrail.operators import joins
-from nudgetrail.operators.cycles import flag_changes, nudged_observations, nudged_predictions
+from nudgetrail.operators.cycles import nudged_observations, nudged_predictions
 from nudgetrail.plans.study import Nudged
 from nudgetrail.queries import QUERIES
 from nudgetrail.sources.standins import DATES, RATING, STUDY, SampleSources
@@ -103,9 +103,6 @@ def test_hot_key_is_split_where_the_log_is_joined(splitting, hot_dir):
     assert any("__bucket" in line for line in split)
     assert any("entity" in line for line in split)
 
-    flags = flag_changes(cut(states, "states"))
-    assert "SortMergeJoin(skew=true)" in _ran(flags)
-
 
 def test_look_ahead_window_sees_one_row_per_order_value(splitting, hot_dir):
     df = contract.queries()["next_observation"](splitting, hot_dir)
