@@ -14,6 +14,20 @@ from nudgetrail.operators.lookahead import with_next
 from nudgetrail.settings import RatingRules, StudyDates
 
 ITEM_KEY = ["provider", "region", "item"]
+LOG_COLUMNS = [
+    *ITEM_KEY,
+    "area",
+    "entity",
+    "country",
+    "run_time",
+    "price",
+    "rating",
+    "final_rating",
+    "final_score",
+    "neutral_score",
+    "variance",
+    "is_new",
+]
 
 
 def _study_days(day: Column, dates: StudyDates) -> Column:
@@ -28,7 +42,7 @@ def _study_days(day: Column, dates: StudyDates) -> Column:
 def nudged_observations(
     observation: DataFrame, sends: DataFrame, dates: StudyDates
 ) -> DataFrame:
-    """The part of the log a study reads: used items that were nudged, on the study's days.
+    """The part of the log a study reads: its columns, used items that were nudged, its days.
 
     Anchors and trajectory both read the log. Cut down to this once and written, it is scanned
     and shuffled whole only once; both stages take it in place of the log. If the log has a
@@ -40,7 +54,8 @@ def nudged_observations(
     # Not made distinct: a semi join needs no distinct keys, and a side that comes straight from
     # its shuffle lets Spark split the other.
     nudged = sends.select(*ITEM_KEY)
-    return _used_observations(observation, dates).join(nudged, ITEM_KEY, "left_semi")
+    used = _used_observations(observation, dates).select(*LOG_COLUMNS)
+    return used.join(nudged, ITEM_KEY, "left_semi")
 
 
 def _used_observations(observation: DataFrame, dates: StudyDates) -> DataFrame:

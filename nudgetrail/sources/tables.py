@@ -32,6 +32,9 @@ def _local_folder() -> str:
 
 def _shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    folder = spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
