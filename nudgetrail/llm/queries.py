@@ -6,8 +6,9 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from nudgetrail.llm import packing, rans, token_counts, warc
+from nudgetrail.llm import mixing, order_minhash, packing, rans, token_counts, warc
 from nudgetrail.llm.common import shared_folder
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -22,6 +23,19 @@ def _new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def op1_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    mixed, x = mixing.mix(docs, F.array("source"), whole=False)
+    quota = F.col(f"{x}quotas")[0]
+    return mixed.select(
+        "doc_id",
+        F.col(f"{x}size").alias("size"),
+        quota["source_size"].alias("source_size"),
+        quota["target"].alias("target"),
+        (F.size(f"{x}routed") * F.col(f"{x}size")).cast("long").alias("taken"),
+    )
+
+
 def op2_rans_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _new_folder(spark, "token-shards")
     docs = _read(spark, sf_dir, "documents")
@@ -29,6 +43,10 @@ def op2_rans_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_documents(spark, folder)
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(_read(spark, sf_dir, "documents"))
+
+
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _new_folder(spark, "warc")
     warc.write_archives(_read(spark, sf_dir, "pages"), folder)
@@ -46,7 +64,9 @@ def op10_rank_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_flow_mixing": op1_flow_mixing,
     "op2_rans_shards": op2_rans_shards,
+    "op6_order_minhash": op6_order_minhash,
     "op7_warc_revisits": op7_warc_revisits,
     "op8_concat_and_cut": op8_concat_and_cut,
     "op10_rank_merge_counts": op10_rank_merge_counts,
