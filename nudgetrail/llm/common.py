@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -36,11 +37,16 @@ class Stages:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Deletes stages that nothing reads any more; without names, all of them."""
+        """Deletes stages that nothing reads any more; without names, all of them.
+
+        Shuffle files of finished jobs go with the driver's next collection, which this asks for.
+        """
         jvm = self.spark._jvm.org.apache.hadoop.fs
         for path in [f"{self.path}/{x}" for x in names] or [self.path]:
             p = jvm.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def texts(docs: DataFrame) -> DataFrame:

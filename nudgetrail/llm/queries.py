@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nudgetrail.llm import mixing, order_minhash, packing, rans, token_counts, warc
+from nudgetrail.llm import bagminhash, mixing, order_minhash, packing, rans, token_counts, warc
 from nudgetrail.llm.common import shared_folder
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -58,6 +58,10 @@ def op8_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(BYTE_BPE))
 
 
+def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op10_rank_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return token_counts.count_tokens(docs, public_tokenizers.path(BYTE_BPE))
@@ -69,6 +73,7 @@ QUERIES = {
     "op6_order_minhash": op6_order_minhash,
     "op7_warc_revisits": op7_warc_revisits,
     "op8_concat_and_cut": op8_concat_and_cut,
+    "op9_bagminhash": op9_bagminhash,
     "op10_rank_merge_counts": op10_rank_merge_counts,
 }
 
