@@ -8,9 +8,9 @@ signatures agree in a component with exactly the weighted Jaccard similarity as
 Processes stop as soon as they are later than all components, so heavy shingles cost little.
 
 Bands of the signatures give buckets. A document is first compared with the smallest one of each of
-its buckets; buckets that are not one component then are compared within, in blocks, wherever two
-members are not yet connected. What the signatures let pass is verified by the exact overlap of
-the multisets, and components of verified links are the classes.
+its buckets that is most alike; buckets that are not one component then are compared within, in
+blocks, wherever two members are not yet connected. What the signatures let pass is verified by the
+exact overlap of the multisets, and components of verified links are the classes.
 
 Texts are equal or not as a whole first: copies are one member from there on. Null and empty texts
 and texts of white space are near their equals only. Rows with a null doc_id are classes of their
@@ -89,14 +89,29 @@ def bag_signatures(
     return value
 
 
-def overlap(a: bytes, b: bytes, k: int = SHINGLE) -> float:
-    """Exact weighted Jaccard similarity of two texts."""
-    owner, name, weight = weighted_shingles([a, b], k)
-    one, two = owner == 0, owner == 1
-    _, i, j = np.intersect1d(name[one], name[two], assume_unique=True, return_indices=True)
-    shared = np.minimum(weight[one][i], weight[two][j]).sum()
-    total = weight.sum() - shared
-    return float(shared / total) if total else 0.0
+Bag = tuple[np.ndarray, np.ndarray, int]
+
+
+def bags(coded: list[bytes], k: int = SHINGLE) -> list[Bag]:
+    """(shingles in order, weights, sum of weights) of each text."""
+    owner, name, weight = weighted_shingles(coded, k)
+    at = np.searchsorted(owner, np.arange(len(coded) + 1))
+    return [
+        (name[a:b], weight[a:b], int(weight[a:b].sum()))
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist())
+    ]
+
+
+def overlap(a: Bag, b: Bag) -> float:
+    """Exact weighted Jaccard similarity."""
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    if not len(a[0]):
+        return 0.0
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    same = b[0][at] == a[0]
+    shared = int(np.minimum(a[1][same], b[1][at[same]]).sum())
+    return shared / (a[2] + b[2] - shared)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -171,8 +186,10 @@ def _verified(pairs: DataFrame, shared: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "ta"):
-            both = zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())
-            keep = pa.array([overlap(x.encode(), y.encode()) >= SIMILAR for x, y in both])
+            one, two = (
+                bags([x.encode() for x in batch.column(c).to_pylist()]) for c in ("ta", "tb")
+            )
+            keep = pa.array([overlap(x, y) >= SIMILAR for x, y in zip(one, two, strict=True)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"]
             )
@@ -181,43 +198,61 @@ def _verified(pairs: DataFrame, shared: DataFrame) -> DataFrame:
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _within(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of members of a bucket that are not connected yet and whose signatures agree.
+def _within(members: DataFrame, reps: DataFrame, shared: DataFrame) -> DataFrame:
+    """Links (a, b) between members of a bucket that are not connected yet.
 
     Members (key, rep, component, n) are dealt to blocks; every two blocks of a bucket meet in one
-    group, so that no group has more than about two blocks.
+    group, so that no group has more than about two blocks. A group tests what the signatures let
+    pass, the most alike first, unless its links have connected the two by then, and returns its
+    links: a forest at most, never all pairs.
     """
 
     def compare(table: pa.Table) -> pa.Table:
         rep = table.column("rep").to_numpy()
         part = table.column("component").to_numpy()
-        block = table.column("block").to_numpy()
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
         value = np.frombuffer(
             b"".join(table.column("signature").to_pylist()), dtype="<u4"
         ).reshape(-1, SIZE)
-        found = []
-        for i in range(len(rep)):
-            other = part != part[i]
-            if low != high:
-                other &= (block == high) if block[i] == low else False
-            other &= rep > rep[i] if low == high else True
-            j = np.flatnonzero(other)
-            close = j[(value[j] == value[i]).mean(axis=1) >= PASS]
-            found += [(max(rep[i], rep[x]), min(rep[i], rep[x])) for x in close]
-        a, b = zip(*found) if found else ((), ())
+        bag = bags([x.encode() for x in table.column("text").to_pylist()])
+        block = table.column("block").to_numpy()
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        near: list[np.ndarray] = [np.zeros((0, 3))]
+        for i in np.flatnonzero(block == low):
+            j = np.flatnonzero((part != part[i]) & (block == high))
+            j = j[rep[j] > rep[i]] if low == high else j
+            alike = (value[j] == value[i]).mean(axis=1)
+            close = alike >= PASS
+            near.append(
+                np.column_stack([alike[close], np.full(close.sum(), i), j[close]])
+            )
+        tests = np.concatenate(near)
+        root = {x: x for x in part.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        a, b = [], []
+        for i, j in tests[np.argsort(-tests[:, 0], kind="stable"), 1:].astype(int).tolist():
+            x, y = find(int(part[i])), find(int(part[j]))
+            if x != y and overlap(bag[i], bag[j]) >= SIMILAR:
+                root[max(x, y)] = min(x, y)
+                a.append(max(rep[i], rep[j]))
+                b.append(min(rep[i], rep[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.join(reps.select("rep", "signature"), "rep").withColumn(
+    own = reps.select("rep", "signature").join(shared, "rep")
+    dealt = members.join(own, "rep").withColumn(
         "block", F.pmod(F.xxhash64("rep"), blocks).cast("int")
     )
     met = dealt.select(
-        "key", "rep", "component", "signature", "block",
+        "key", "rep", "component", "signature", "text", "block",
         F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"),
     )
     met = met.select(
-        "key", "rep", "component", "signature", "block",
+        "key", "rep", "component", "signature", "text", "block",
         F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
     )
     return met.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
@@ -248,14 +283,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = stages.cut(_verified(best.select("a", "x.b"), shared), "links")
 
     known = stages.cut(components(links, stages, "star"), "known")
-    placed = members.where("n > 2").join(known.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = members.join(known.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.select("key", "rep", F.coalesce("component", "rep").alias("component"), "n")
     mixed = placed.groupBy("key").agg(
         F.min("component").alias("least"), F.max("component").alias("most")
     )
     mixed = stages.cut(mixed.where("least < most").select("key"), "mixed")
-    pairs = stages.cut(_within(placed.join(mixed, "key"), reps), "pairs")
-    more = stages.cut(_verified(pairs, shared), "more-links")
+    more = stages.cut(_within(placed.join(mixed, "key"), reps, shared), "more-links")
 
     joined = components(links.unionByName(more), stages, "all").withColumnRenamed("node", "rep")
     classes = stages.cut(
@@ -264,7 +298,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("h", F.coalesce("component", "rep").alias("class_id")),
         "classes",
     )
-    stages.drop("hubs", "members", "reps", "shared", "pairs", "mixed", "known")
+    stages.drop("hubs", "members", "reps", "shared", "mixed", "known")
     found = signed.select("doc_id", "h").join(classes, "h").select("doc_id", "class_id").distinct()
     nameless = rows.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("c"))
     return found.unionByName(nameless.toDF("doc_id", "class_id")).withColumn(
