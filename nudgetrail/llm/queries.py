@@ -8,8 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nudgetrail.llm import bagminhash, mixing, order_minhash, packing, rans, token_counts, warc
-from nudgetrail.llm.common import shared_folder
+from nudgetrail.llm import (
+    bagminhash,
+    mixing,
+    order_minhash,
+    packing,
+    pu_quality,
+    rans,
+    substrings,
+    token_counts,
+    warc,
+)
+from nudgetrail.llm.common import Stages, shared_folder
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -43,6 +53,22 @@ def op2_rans_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_documents(spark, folder)
 
 
+def op3_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stages = Stages(spark, "substrings")
+    return substrings.repeated_paragraphs(_read(spark, sf_dir, "documents"), stages)
+
+
+def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = pu_quality.train(docs, _read(spark, sf_dir, "labels"))
+    return pu_quality.score(docs, model).select(
+        "doc_id",
+        (pu_quality.fold(F.col("doc_id")) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= pu_quality.KEEP).cast("int").alias("predicted"),
+    )
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(_read(spark, sf_dir, "documents"))
 
@@ -70,6 +96,8 @@ def op10_rank_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_flow_mixing": op1_flow_mixing,
     "op2_rans_shards": op2_rans_shards,
+    "op3_paragraph_minhash": op3_paragraph_minhash,
+    "op4_pu_quality": op4_pu_quality,
     "op6_order_minhash": op6_order_minhash,
     "op7_warc_revisits": op7_warc_revisits,
     "op8_concat_and_cut": op8_concat_and_cut,
