@@ -7,15 +7,16 @@ left out, and the earliest point that falls on a component of the signature give
 signatures agree in a component with exactly the weighted Jaccard similarity as probability.
 Processes stop as soon as they are later than all components, so heavy shingles cost little.
 
-Bands of the signatures give buckets. A document is first compared with the smallest one of each of
-its buckets that is most alike; buckets that are not one component then are compared within, in
+Bands of the signatures give buckets. A document is first compared with that smallest one of a
+bucket with which it shares most buckets; buckets that are not one component then are compared within, in
 blocks, wherever two members are not yet connected. What the signatures let pass is verified by the
 exact overlap of the multisets, and components of verified links are the classes.
 
 Texts are equal or not as a whole first: copies are one member from there on. Null and empty texts
 and texts of white space are near their equals only. Rows with a null doc_id are classes of their
 own (null), all kept. Rows that repeat doc_id and text are one document. Texts of any length are
-taken whole. Other columns are ignored; an empty table gives no row.
+taken whole. A doc_id that comes with several texts is one document that is near whatever any of
+them is near. Other columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -160,27 +161,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, SIZE)
 
 
-def _alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures agree enough, with the part that agrees."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "sa"):
-            part = (_matrix(batch.column("sa")) == _matrix(batch.column("sb"))).mean(axis=1)
-            keep = pa.array(part >= PASS)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("a").filter(keep),
-                    batch.column("b").filter(keep),
-                    pa.array(part).filter(keep),
-                ],
-                names=["a", "b", "part"],
-            )
-
-    sign = reps.select("rep", "signature")
-    joined = pairs.join(sign.toDF("a", "sa"), "a").join(sign.toDF("b", "sb"), "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, part double")
-
-
 def _verified(pairs: DataFrame, shared: DataFrame) -> DataFrame:
     """Pairs (a, b) whose texts overlap enough."""
 
@@ -255,7 +235,7 @@ def _within(members: DataFrame, reps: DataFrame, shared: DataFrame) -> DataFrame
         "key", "rep", "component", "signature", "text", "block",
         F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
     )
-    return met.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+    return met.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -273,17 +253,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hubs = stages.cut(hubs.where("n > 1"), "hubs")
     members = stages.cut(_banded(reps).join(hubs, "key"), "members")
     shared_ids = stages.cut(members.select(F.col("rep").alias("doc_id")).distinct(), "shared-ids")
-    shared = rows.join(shared_ids, "doc_id", "left_semi").distinct()
-    shared = stages.cut(shared.join(signed.select("doc_id", "h"), "doc_id").where(
-        F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("h")
-    ).join(reps.select("h", "rep"), "h").where("doc_id = rep").select("rep", "text"), "shared")
-
-    star = members.where("rep > hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    best = _alike(star.distinct(), reps).groupBy("a").agg(F.max(F.struct("part", "b")).alias("x"))
-    links = stages.cut(_verified(best.select("a", "x.b"), shared), "links")
-
-    known = stages.cut(components(links, stages, "star"), "known")
-    placed = members.join(known.withColumnRenamed("node", "rep"), "rep", "left")
+    shared = stages.cut(rows.join(shared_ids, "doc_id", "left_semi").toDF("rep", "text"), "shared")
+
+    # The hub that shares most buckets with a member is the likeliest to be near it.
+    star = members.where("rep > hub").groupBy("rep", "hub").agg(F.count("*").alias("bands"))
+    best = star.groupBy("rep").agg(F.max(F.struct("bands", "hub")).alias("x"))
+    best = stages.cut(best.select(F.col("rep").alias("a"), F.col("x.hub").alias("b")), "best")
+    links = stages.cut(_verified(best, shared), "links")
+
+    # A hub is smaller than what links to it: two jumps bring most members to one root. Whoever is
+    # not there yet is only tested once more than it had to be.
+    up = links.toDF("rep", "up")
+    over = links.toDF("up", "over")
+    far = stages.cut(
+        up.join(over, "up", "left").select("rep", F.coalesce("over", "up").alias("up")), "far"
+    )
+    far = far.join(far.toDF("up", "over"), "up", "left")
+    known = stages.cut(far.select("rep", F.coalesce("over", "up").alias("component")), "known")
+    placed = members.join(known, "rep", "left")
     placed = placed.select("key", "rep", F.coalesce("component", "rep").alias("component"), "n")
     mixed = placed.groupBy("key").agg(
         F.min("component").alias("least"), F.max("component").alias("most")

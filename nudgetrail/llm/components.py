@@ -16,27 +16,21 @@ def components(edges: DataFrame, stages: Stages, name: str = "components") -> Da
     so that a node with any share of all edges is joined in parts. Loops and repeats do no harm.
     """
     ordered = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = stages.cut(ordered.where("a > b").distinct(), f"{name}-0")
-    mark, turn = _mark(now), 0
+    now, turn = stages.cut(ordered.where("a > b").distinct(), f"{name}-0"), 0
     while True:
         turn += 1
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         least = stages.cut(least.select("a", F.least("a", "m").alias("m")), f"{name}-{turn}-l")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m"))
-        large = stages.cut(large.withColumnRenamed("m", "b").distinct(), f"{name}-{turn}-large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        least = stages.cut(least, f"{name}-{turn}-s")
+        large = stages.cut(large.withColumnRenamed("m", "b"), f"{name}-{turn}-large")
+        least = stages.cut(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-{turn}-s")
         rest = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), "m")
         small = rest.unionByName(least).withColumnRenamed("m", "b").distinct()
-        after = stages.cut(small, f"{name}-{turn}")
-        new = _mark(after)
-        if new == mark:
-            roots = after.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            leaves = after.select(F.col("a").alias("node"), F.col("b").alias("component"))
-            return leaves.unionByName(roots)
-        now, mark = after, new
-
-
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20)"))).first())
+        now = stages.cut(small, f"{name}-{turn}")
+        # Done when every node has one parent and no parent has another.
+        if now.count() == least.count():
+            roots = now.select(F.col("b").alias("a"))
+            if now.join(roots, "a", "left_semi").isEmpty():
+                roots = now.select(F.col("b").alias("node"), F.col("b").alias("component"))
+                return now.toDF("node", "component").unionByName(roots.distinct())
