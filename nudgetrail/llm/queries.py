@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from nudgetrail.llm import (
     bagminhash,
+    hnsw,
     mixing,
     order_minhash,
     packing,
@@ -69,6 +70,10 @@ def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_hnsw_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.linked_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(_read(spark, sf_dir, "documents"))
 
@@ -98,6 +103,7 @@ QUERIES = {
     "op2_rans_shards": op2_rans_shards,
     "op3_paragraph_minhash": op3_paragraph_minhash,
     "op4_pu_quality": op4_pu_quality,
+    "op5_hnsw_links": op5_hnsw_links,
     "op6_order_minhash": op6_order_minhash,
     "op7_warc_revisits": op7_warc_revisits,
     "op8_concat_and_cut": op8_concat_and_cut,
