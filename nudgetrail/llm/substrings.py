@@ -6,8 +6,9 @@ by content: ``PARAGRAPH`` words from an anchor on, and an anchor is every word w
 more than ``PARAGRAPH + WINDOW - 2`` = 50 words has an anchor, and so a whole paragraph, at the same
 place in each of its copies.
 
-Bands are tuned for recall: one MinHash value each, ``BANDS`` of them, which finds a pair of
-similarity 0.8 with a probability of at least 0.96 and equal paragraphs always. Every paragraph of a
+Bands are tuned for recall: ``BANDS`` of ``ROWS`` MinHash values each find equal paragraphs always,
+those that differ by a word at an end (similarity 0.9) with a probability of 0.97 and any pair of
+similarity 0.8 with 0.87; a copied passage has several paragraphs. Every paragraph of a
 bucket that spans documents is compared with the first one of the bucket; equal content needs no
 more, others are verified by exact Jaccard similarity of their word shingles. Components of links
 are classes, the first paragraph of a class stays, and those of other documents are removed.
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nudgetrail.llm.common import Stages, slices, texts
@@ -35,7 +36,7 @@ from nudgetrail.llm.words import U64, mix, words_of
 SHINGLE = 5
 PARAGRAPH = 25
 WINDOW = 27
-BANDS = 2
+BANDS, ROWS = 2, 2
 SIMILAR = 0.8
 
 
@@ -72,10 +73,20 @@ def _shingles(word: np.ndarray, at: np.ndarray) -> np.ndarray:
     return _runs(word, places.reshape(-1), SHINGLE).reshape(places.shape)
 
 
+def _band(rows: np.ndarray, band: int) -> np.ndarray:
+    """One key of each row of shingles, from ROWS of its MinHash values."""
+    key = np.full(len(rows), band, dtype=U64)
+    for row in range(ROWS):
+        with np.errstate(over="ignore"):
+            least = mix(rows, 31 + band * ROWS + row).min(axis=1)
+            key = mix(key * U64(0x9E3779B97F4A7C15) + least)
+    return key
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, start, end, content, keys): every paragraph of every text.
+    """(doc_id, span, content, keys): every paragraph of every text.
 
-    ``place`` counts words, ``start`` and ``end`` bytes of UTF-8; ``content`` names the words.
+    ``span`` holds start and end in bytes of UTF-8, see ``_start``; ``content`` names the words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,26 +100,30 @@ def paragraphs(docs: DataFrame) -> DataFrame:
             keys = []
             for part in range(0, len(at), 1 << 15):
                 rows = _shingles(words.hash, at[part : part + (1 << 15)])
-                band = [mix(rows, 31 + b).min(axis=1) for b in range(BANDS)]
-                keys.append(np.stack([mix(x, 71 + b) for b, x in enumerate(band)], axis=1))
+                keys.append(np.stack([_band(rows, b) for b in range(BANDS)], axis=1))
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros((0, BANDS), np.int64)
             ids = batch.column("doc_id").to_numpy(False)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[owner[at]], pa.int64()),
-                    pa.array(place[at].astype(np.int32)),
-                    pa.array(words.start[at].astype(np.int32)),
-                    pa.array(words.end[at + PARAGRAPH - 1].astype(np.int32)),
+                    pa.array((words.start[at] << 32) + words.end[at + PARAGRAPH - 1]),
                     pa.array(_runs(words.hash, at, PARAGRAPH).view(np.int64)),
                     pa.ListArray.from_arrays(
                         np.arange(0, flat.size + 1, BANDS, dtype=np.int32), flat.reshape(-1)
                     ),
                 ],
-                names=["doc_id", "place", "start", "end", "content", "keys"],
+                names=["doc_id", "span", "content", "keys"],
             )
 
-    schema = "doc_id long, place int, start int, end int, content long, keys array<long>"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, "doc_id long, span long, content long, keys array<long>")
+
+
+def _start(span: str) -> Column:
+    return F.shiftright(span, 32).cast("int")
+
+
+def _end(span: str) -> Column:
+    return F.col(span).bitwiseAND((1 << 32) - 1).cast("int")
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -125,7 +140,7 @@ def similarity(a: bytes, b: bytes) -> float:
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) between contents whose paragraphs are similar; one example of each pair is read.
 
-    Pairs have (a, b) and the place of an example of each: doc_a, start_a, end_a, doc_b ...
+    Pairs have (a, b) and where an example of each stands: doc_a, span_a, doc_b, span_b.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,35 +154,36 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     raw = F.col("text").cast("binary")
     for side in "ab":
         doc = docs.select(F.col("doc_id").alias(f"doc_{side}"), raw.alias("raw"))
-        part = F.expr(f"substring(raw, start_{side} + 1, end_{side} - start_{side})")
+        span = f"span_{side}"
+        part = F.substring("raw", _start(span) + 1, _end(span) - _start(span))
         pairs = pairs.join(doc, f"doc_{side}").withColumn(f"p{side}", part).drop("raw")
     return pairs.select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long").distinct()
 
 
 def repeated_paragraphs(docs: DataFrame, stages: Stages) -> DataFrame:
-    """(doc_id, place, start, end, class_id, keeper_doc_id, keeper_place, removed).
+    """(doc_id, start, end, class_id, keeper_doc_id, keeper_start, removed).
 
     Every paragraph of a class that spans documents; class_id is the smallest content of the class.
     """
     rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = rows.where("doc_id IS NOT NULL")
     units = stages.cut(paragraphs(rows), "paragraphs")
-    keyed = units.select(F.explode("keys").alias("key"), "doc_id", "place", "start", "end", "content")
-    spot = F.struct("doc_id", "place", "start", "end", "content")
+    keyed = units.select(F.explode("keys").alias("key"), "doc_id", "span", "content")
+    spot = F.struct("doc_id", "span", "content")
     hubs = keyed.groupBy("key").agg(F.min(spot).alias("hub"), F.max("doc_id").alias("last"))
     hubs = stages.cut(hubs.where("hub.doc_id < last").select("key", "hub"), "hubs")
-    members = keyed.join(hubs, "key").select(
-        "doc_id", "place", "start", "end", "content", "hub"
-    )
-    members = stages.cut(members, "members")
+    members = stages.cut(keyed.join(hubs, "key").drop("key"), "members")
     stages.drop("paragraphs", "hubs")
 
-    pairs = members.where(F.col("content") != F.col("hub.content")).groupBy(
-        F.greatest("content", "hub.content").alias("a"), F.least("content", "hub.content").alias("b")
-    ).agg(F.min(F.struct(spot.alias("x"), "hub")).alias("e"))
-    pairs = pairs.select(
-        "a", "b", *[F.col(f"e.x.{c}").alias(f"{n}_a") for n, c in _SPOT],
-        *[F.col(f"e.hub.{c}").alias(f"{n}_b") for n, c in _SPOT],
+    high, low = (f("content", "hub.content") for f in (F.greatest, F.least))
+    pairs = (
+        members.where(F.col("content") != F.col("hub.content"))
+        .groupBy(high.alias("a"), low.alias("b"))
+        .agg(F.min(F.struct(spot.alias("own"), "hub")).alias("x"))
+        .select(
+            "a", "b", F.col("x.own.doc_id").alias("doc_a"), F.col("x.own.span").alias("span_a"),
+            F.col("x.hub.doc_id").alias("doc_b"), F.col("x.hub.span").alias("span_b"),
+        )
     )
     pairs = stages.cut(pairs, "pairs")
     wanted = pairs.select(F.col("doc_a").alias("doc_id")).union(pairs.select("doc_b")).distinct()
@@ -177,24 +193,23 @@ def repeated_paragraphs(docs: DataFrame, stages: Stages) -> DataFrame:
 
     spots = stages.cut(members.drop("hub").distinct(), "spots")
     named = spots.join(classes, "content", "left").select(
-        "doc_id", "place", "start", "end", F.coalesce("component", "content").alias("class_id")
+        "doc_id", "span", F.coalesce("component", "content").alias("class_id")
     )
     named = stages.cut(named, "named")
     stages.drop("members", "pairs", "texts", "spots")
     keepers = named.groupBy("class_id").agg(
-        F.min(F.struct("doc_id", "place")).alias("keeper"), F.max("doc_id").alias("last")
+        F.min(F.struct("doc_id", "span")).alias("keeper"), F.max("doc_id").alias("last")
+    )
+    keepers = keepers.where("keeper.doc_id < last").select(
+        "class_id", F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.span").alias("at")
     )
-    keepers = keepers.where("keeper.doc_id < last").select("class_id", "keeper")
     return named.join(stages.cut(keepers, "keepers"), "class_id").select(
-        "doc_id", "place", "start", "end", "class_id",
-        F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.place").alias("keeper_place"),
-        (F.col("doc_id") != F.col("keeper.doc_id")).alias("removed"),
+        "doc_id", _start("span").alias("start"), _end("span").alias("end"), "class_id",
+        "keeper_doc_id", _start("at").alias("keeper_start"),
+        (F.col("doc_id") != F.col("keeper_doc_id")).alias("removed"),
     )
 
 
-_SPOT = (("doc", "doc_id"), ("start", "start"), ("end", "end"))
-
-
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, their texts cut where a passage was kept in another document.
 
