@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20  # numpy takes some fifty times as much meanwhile
 
 
 def shared_folder(spark: SparkSession) -> str:

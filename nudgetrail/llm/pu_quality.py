@@ -280,20 +280,12 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 def accepted(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame:
     """The rows of ``docs`` whose text scores at least ``keep``, with the same columns."""
 
-    @F.pandas_udf("double")
-    def scored(text):
-        import pandas as pd
-
-        if model is None:
-            return pd.Series(np.ones(len(text)))
-        out, part, held = [], [], 0
-        for t in text:
-            part.append(t.encode())
-            held += len(part[-1])
-            if held > 4 << 20:
-                out.append(model.score(features(part)))
-                part, held = [], 0
-        out.append(model.score(features(part)) if part else np.zeros(0))
-        return pd.Series(np.concatenate(out))
-
-    return docs.where(scored(F.coalesce("text", F.lit(""))) >= keep)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            coded = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            if model is None:
+                yield batch
+            else:
+                yield batch.filter(pa.array(model.score(features(coded)) >= keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -222,29 +222,32 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     )
     spans = stages.cut(spans, "spans")
 
-    @F.pandas_udf("string")
-    def cut(text, found):
-        import pandas as pd
-
-        out = []
-        for t, s in zip(text, found):
-            if s is None or t is None:
-                out.append(t)
-                continue
-            raw, kept, at = t.encode(), [], 0
-            for x in sorted((x["start"], x["end"]) for x in s):
-                kept.append(raw[at : max(at, x[0])])
-                at = max(at, x[1])
-            kept.append(raw[at:])
-            out.append(b"".join(kept).decode())
-        return pd.Series(out, dtype=object)
-
     columns = docs.columns
     joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("cut_doc"), "left")
-    touched = F.col("cut_spans").isNotNull()
-    done = joined.withColumn("text", F.when(touched, cut("text", "cut_spans")).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        kind = docs.schema["n_chars"].dataType
-        length = F.when(touched, F.length("text").cast(kind)).otherwise(F.col("n_chars"))
-        done = done.withColumn("n_chars", length)
-    return done.where(~touched | (F.trim("text") != "")).select(*columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            text, keep = [], []
+            found = batch.column("cut_spans").to_pylist()
+            for t, spans in zip(batch.column("text").to_pylist(), found, strict=True):
+                left = t if spans is None else _left(t, spans)
+                text.append(left)
+                keep.append(spans is None or left.strip() != "")
+            out = {c: batch.column(c) for c in columns}
+            out["text"] = pa.array(text, batch.schema.field("text").type)
+            if "n_chars" in out:
+                size = zip(found, text, out["n_chars"].to_pylist(), strict=True)
+                kind = batch.schema.field("n_chars").type
+                out["n_chars"] = pa.array([n if s is None else len(t) for s, t, n in size], kind)
+            yield pa.RecordBatch.from_pydict(out).filter(pa.array(keep, pa.bool_()))
+
+    return joined.select(*columns, "cut_spans").mapInArrow(run, docs.schema)
+
+
+def _left(text: str, spans: list[dict]) -> str:
+    """The text without the spans, which may overlap."""
+    raw, kept, at = text.encode(), [], 0
+    for start, end in sorted((x["start"], x["end"]) for x in spans):
+        kept.append(raw[at : max(at, start)])
+        at = max(at, end)
+    return b"".join([*kept, raw[at:]]).decode()
