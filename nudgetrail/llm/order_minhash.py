@@ -96,7 +96,7 @@ def _in_order(docs: DataFrame) -> DataFrame:
     low = F.lit(-(1 << 63)).cast("long")
     keyed = docs.withColumn("place", -F.coalesce(F.col("doc_id"), low).cast("double"))
     cuts = keyed.approxQuantile("place", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    splits = [-float("inf"), *sorted(set(cuts) or {0.0}), float("inf")]
     split = Bucketizer(splits=splits, inputCol="place", outputCol="bucket").transform
     heads = (
         split(keyed.select("doc_id", "place"))
