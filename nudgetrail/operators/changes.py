@@ -54,15 +54,20 @@ def merge_change(flags: DataFrame, first: DataFrame, at_change: DataFrame) -> Da
     """Every trajectory row of an item that changed, with its first-change facts.
 
     An item whose several anchor states changed has its rows once for each, and once for each
-    rating that followed: no more times than it has cycles and labels. Prices at the change stay
-    in ``at_change``; repeating the rows for each of those would be quadratic on an item with
-    many observations a day. The two small sides are joined first, so the trajectory is shuffled
-    once.
+    rating that followed: no more times than it has cycles and labels. The prices at the change
+    are summed up to their lowest, highest and number; a row for each of them would be quadratic
+    on an item with many observations a day, and joining ``at_change`` gives just those rows. The
+    two small sides are joined first, so the trajectory is shuffled once.
     """
-    facts = first.select(*AREA_KEY, "first_change_date").join(
-        _following(at_change), [*AREA_KEY, "first_change_date"], "left"
+    key = [*AREA_KEY, "first_change_date"]
+    price = F.col("price_at_first_change")
+    following = at_change.groupBy(*key, "following_rating").agg(
+        F.min(price).alias("lowest_price_at_change"),
+        F.max(price).alias("highest_price_at_change"),
+        F.count(price).alias("prices_at_change"),
     )
-    return flags.join(facts, AREA_KEY, "inner")
+    facts = first.select(*key).join(following, key, "left")
+    return flags.join(facts.fillna(0, ["prices_at_change"]), AREA_KEY, "inner")
 
 
 def persistence(flags: DataFrame, at_change: DataFrame, dates: StudyDates) -> DataFrame:

@@ -40,17 +40,17 @@ def _study_days(day: Column, dates: StudyDates) -> Column:
 
 
 def nudged_observations(
-    observation: DataFrame, sends: DataFrame, dates: StudyDates
+    observation: DataFrame, sends: DataFrame, dates: StudyDates, run_date: str | None = None
 ) -> DataFrame:
     """The part of the log a study reads: its columns, used items that were nudged, its days.
 
     Anchors and trajectory both read the log. Cut down to this once and written, it is scanned
-    and shuffled whole only once; both stages take it in place of the log. If the log has a
-    ``run_date`` column, the day of ``run_time`` it is partitioned by, whole partitions outside
-    the study's days are skipped.
+    and shuffled whole only once; both stages take it in place of the log. ``run_date`` names a
+    column that is the day of ``run_time`` in every row, if the log is partitioned by one: whole
+    partitions outside the study's days are then skipped. A column is never used by its name alone.
     """
-    if "run_date" in observation.columns:
-        observation = observation.where(_study_days(F.col("run_date"), dates))
+    if run_date is not None:
+        observation = observation.where(_study_days(F.col(run_date), dates))
     # Not made distinct: a semi join needs no distinct keys, and a side that comes straight from
     # its shuffle lets Spark split the other.
     nudged = sends.select(*ITEM_KEY)
@@ -175,7 +175,7 @@ def trajectory(
         "rating",
     )
     inside = interval_join(
-        facts, cycles, ITEM_KEY, "date", "obs_date", "next_sent_date", dates.obs_end, bucket_days
+        facts, cycles, ITEM_KEY, "date", "obs_date", "next_sent_date", bucket_days
     )
     described = inside.join(
         ontology.select("entity", "region", "maker", "model", "year"), ["entity", "region"], "left"

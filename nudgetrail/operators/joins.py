@@ -7,7 +7,6 @@ falls back to a shuffled join, splitting skewed partitions, when it does not.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +59,6 @@ def interval_join(
     day: str,
     start: str,
     end: str,
-    last_day: date,
     bucket_days: int = 7,
 ) -> DataFrame:
     """Inner join of facts with the spans ``[start, end)`` their day falls in.
@@ -68,10 +66,9 @@ def interval_join(
     Spans are repeated once per time bucket they touch and joined on keys and bucket, so that a
     key with very many facts is spread over its buckets and one with many spans only compares
     those near the fact's day. A fact lies in exactly one bucket, so nothing is matched twice.
-    ``last_day`` is the latest day any fact has; it bounds the buckets of open-ended spans.
-    Empty spans, and those without a start or end, match nothing.
+    Spans are closed by their callers, so a span's own end bounds its buckets. Empty spans, and those without a start or end, match nothing.
     """
-    last = F.least(F.date_sub(F.col(end), 1), F.lit(last_day))
+    last = F.date_sub(F.col(end), 1)
     bucketed = spans.where(F.col(start) <= last).withColumn(
         "__bucket",
         F.explode(F.sequence(_bucket(F.col(start), bucket_days), _bucket(last, bucket_days))),

@@ -75,6 +75,8 @@ class Study:
     nudge: NudgeSpec
     rating: RatingRules
     labels: ReportLabels
+    #: A column of the log that is the day of run_time in every row, if it is partitioned by one.
+    run_date: str | None = None
 
     def roster(self, src: Sources) -> DataFrame:
         return campaign_roster(src.send, src.context, src.track, self.campaign, self.dates)
@@ -84,7 +86,7 @@ class Study:
 
     def nudged(self, src: Sources, roster: DataFrame) -> Nudged:
         sends = cut(send_engagement(self.nudges(src, roster)), "sends")
-        log = nudged_observations(src.observation, sends, self.dates)
+        log = nudged_observations(src.observation, sends, self.dates, self.run_date)
         predictions = nudged_predictions(src.prediction2, sends, self.dates, self.rating)
         return Nudged(sends, cut(log, "log"), cut(predictions, "predictions"))
 

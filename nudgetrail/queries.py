@@ -165,7 +165,7 @@ def interval_join(src: Sources) -> DataFrame:
         *cycles.ITEM_KEY, "run_time", "price", F.to_date("run_time").alias("date")
     )
     return joins.interval_join(
-        facts, spans, cycles.ITEM_KEY, "date", "obs_date", "next_sent_date", DATES.as_of
+        facts, spans, cycles.ITEM_KEY, "date", "obs_date", "next_sent_date"
     )
 
 

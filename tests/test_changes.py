@@ -1,3 +1,4 @@
+from nudgetrail.queries import QUERIES
 from pyspark.sql import functions as F
 
 from frames import DATES, LABELS, day, frame, rows
@@ -100,6 +101,20 @@ def test_persistence_equals_counting_over_the_merged_rows(spark):
     assert found == rows(counted, *columns)
 
 
+def test_merged_rows_and_states_give_every_price(spark):
+    sample = "/root/testdata/sf0.01"
+    merged = QUERIES["merge_change"](spark, sample)
+    state = QUERIES["state_at_first_change"](spark, sample)
+    key = ("provider", "region", "item", "area", "first_change_date", "following_rating")
+    state = state.select(*[F.col(c).alias(f"s_{c}") for c in key], "price_at_first_change")
+    same = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in key]
+    full = merged.join(state, same, "left")
+    assert (merged.count(), full.count()) == (173, 194)
+    price = F.col("price_at_first_change")
+    inside = price.between(F.col("lowest_price_at_change"), F.col("highest_price_at_change"))
+    assert full.where(price.isNotNull() & ~inside).count() == 0
+
+
 def dims_of(spark):
     return provider_dims(
         frame(

@@ -164,7 +164,7 @@ def test_interval_join_edges_and_bucket_width(spark):
     expected = [("a", day(3)), ("a", day(4)), ("c", day(28)), ("c", day(29)), ("c", day(30)),
                 ("f", day(1))]
     for width in (1, 7, 400):
-        found = interval_join(facts, spans, ["k"], "day", "start", "stop", day(30), width)
+        found = interval_join(facts, spans, ["k"], "day", "start", "stop", width)
         assert rows(found, "name", "day") == expected
 
 

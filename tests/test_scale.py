@@ -131,11 +131,14 @@ def test_days_outside_the_study_are_not_read(spark, tmp_path):
         "run_date"
     ).parquet(path)
     sends = QUERIES["send_engagement"](spark, SAMPLE)
-    log = nudged_observations(spark.read.parquet(path), sends, DATES)
+    log = nudged_observations(spark.read.parquet(path), sends, DATES, "run_date")
     plan = _plan(log)
     assert "PartitionFilters: [isnotnull(run_date" in plan
     plain = nudged_observations(src.observation, sends, DATES)
     assert spark_rows(log) == spark_rows(plain)
+    for other in (F.lit(None).cast("date"), F.current_date()):  # a name alone decides nothing
+        named = src.observation.withColumn("run_date", other)
+        assert spark_rows(nudged_observations(named, sends, DATES)) == spark_rows(plain)
 
 
 def test_hot_right_side_is_read_once(spark, tmp_path):
