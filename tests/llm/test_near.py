@@ -2,7 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
-from conftest import PASSAGE
+from llm_rows import PASSAGE
 from nudgetrail.llm import bagminhash, hnsw, order_minhash, substrings
 from nudgetrail.llm.common import Stages
 from nudgetrail.llm.components import components
