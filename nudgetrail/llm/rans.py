@@ -33,6 +33,7 @@ LANES = 64
 STRIDE = 256  # steps between checkpoints
 BLOCK = 1 << 16  # tokens after which a block is closed
 BATCH = 1 << 20  # tokens that one task codes in step
+SLICE = 4 << 20  # bytes of text or ids taken at a time
 LOW = np.uint64(1 << 31)
 MAGIC = b"RNS1"
 HEAD = struct.Struct("<4sIQIII")  # magic, documents, tokens, words, checkpoints, lanes
@@ -176,7 +177,7 @@ def _counts(stage: DataFrame, dtype: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
-        for batch in slices(batches, "ids"):
+        for batch in slices(batches, "ids", SLICE):
             raw = b"".join(batch.column("ids").to_pylist())
             count = np.bincount(np.frombuffer(raw, dtype=dtype))
             if len(count) > len(total):
@@ -207,7 +208,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END_ID)
     """
     stages = Stages(docs.sparkSession, "rans")
     ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    stage = token_stage(stages, ordered, path, end_id)
+    stage = token_stage(stages, ordered, path, end_id, SLICE)
     dtype = encoder(path).dtype.str
     _counts(stage, dtype).write.parquet(f"{folder}/frequencies")
     table = read_table(docs.sparkSession.read.parquet(f"{folder}/frequencies"))
@@ -228,7 +229,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END_ID)
                 )
             held.clear()
 
-        for batch in slices(batches, "ids"):
+        for batch in slices(batches, "ids", SLICE):
             cols = [batch.column(x).to_pylist() for x in ("part", "doc_id", "start", "ids")]
             for shard, doc, start, raw in zip(*cols, strict=True):
                 ids = np.frombuffer(raw, dtype=dtype)

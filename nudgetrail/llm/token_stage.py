@@ -10,13 +10,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nudgetrail.llm.common import Stages, slices
+from nudgetrail.llm.common import SLICE_BYTES, Stages, slices
 from nudgetrail.llm.tokens import encoder
 
 SCHEMA = "part int, doc_id long, n_tokens long, local long, ids binary"
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+def tokenize(
+    docs: DataFrame, path: str, end_id: int, slice_bytes: int = SLICE_BYTES
+) -> DataFrame:
     """(part, doc_id, n_tokens, local, ids) for (doc_id, text) rows, in the order they come.
 
     ``ids`` are little-endian, of the width of ``encoder(path).dtype``, and end with ``end_id``.
@@ -26,7 +28,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         part, local = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", slice_bytes):
             ids, at = enc.encode(batch.column("text").to_pylist())
             ids = np.insert(ids, at[1:], np.array(end_id, dtype=enc.dtype))
             at = at + np.arange(len(at))
@@ -70,7 +72,11 @@ def with_global_start(stage: DataFrame) -> DataFrame:
 
 
 def token_stage(
-    stages: Stages, docs: DataFrame, path: str, end_id: int, name: str = "ids"
+    stages: Stages,
+    docs: DataFrame,
+    path: str,
+    end_id: int,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """``tokenize``, written once, with ``start``."""
-    return with_global_start(stages.cut(tokenize(docs, path, end_id), name))
+    return with_global_start(stages.cut(tokenize(docs, path, end_id, slice_bytes), "ids"))
