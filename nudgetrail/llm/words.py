@@ -30,7 +30,7 @@ _powers: dict[int, np.ndarray] = {}
 
 def _power(base: int, n: int) -> np.ndarray:
     """1, base, base^2 ... modulo 2^64, remembered up to the longest asked for so far."""
-    if len(_powers.get(base, ())) < n:
+    if len(_powers.get(base, ())) < max(n, 1):
         power = np.full(max(n, 1 << 20), base, dtype=U64)
         power[0] = 1
         with np.errstate(over="ignore"):
