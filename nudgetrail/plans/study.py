@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -19,6 +20,7 @@ from nudgetrail.operators.cycles import (
 from nudgetrail.operators.joins import provider_dims
 from nudgetrail.operators.messages import (
     campaign_roster,
+    campaign_roster_rows,
     nudge_sends,
     opener_count,
     send_engagement,
@@ -77,9 +79,14 @@ class Study:
     labels: ReportLabels
     #: A column of the log that is the day of run_time in every row, if it is partitioned by one.
     run_date: str | None = None
+    #: The earlier form of the roster: tracked messages only, counts of rows instead of flags.
+    earlier_roster: bool = False
+    #: What the look-ahead to the next rating runs within.
+    lookahead_keys: Sequence[str] = ("provider", "item")
 
     def roster(self, src: Sources) -> DataFrame:
-        return campaign_roster(src.send, src.context, src.track, self.campaign, self.dates)
+        form = campaign_roster_rows if self.earlier_roster else campaign_roster
+        return form(src.send, src.context, src.track, self.campaign, self.dates)
 
     def nudges(self, src: Sources, roster: DataFrame) -> DataFrame:
         return nudge_sends(src.send, src.context, roster, self.nudge, self.dates)
@@ -103,6 +110,9 @@ class Study:
             nudged.log, src.ontology, nudged.predictions, cycles, self.dates, self.rating
         )
 
+    def flags(self, src: Sources, nudged: Nudged, cycles: DataFrame) -> DataFrame:
+        return flag_changes(self.trajectory(src, nudged, cycles), self.lookahead_keys)
+
     def persistent(self, flags: DataFrame) -> DataFrame:
         """Lasting changes; ``flags`` is read three times, so pass it written or cut."""
         at_change = state_at_first_change(flags, first_change(flags))
@@ -132,6 +142,7 @@ def run_study(
     by_country: bool = True,
     use_fallback: bool = True,
     country: str | None = None,
+    grain: str = "segment",
 ) -> Results:
     """Runs every stage and returns its tables and reports.
 
@@ -146,13 +157,13 @@ def run_study(
     roster = keep(study.roster(src), "roster", "")
     nudged = study.nudged(src, roster)
     anchors = keep(study.cycles(nudged), "anchors")
-    flags = keep(flag_changes(study.trajectory(src, nudged, anchors)), "flags")
+    flags = keep(study.flags(src, nudged, anchors), "flags")
     persistent = keep(study.persistent(flags), "persistent")
 
     dims = provider_dims(src.site, src.acct, src.account)
     groups = {"by_country": by_country, "use_fallback": use_fallback}
     summary = pre_post_summary(
-        persistent, dims, study.dates, study.labels, country=country, **groups
+        persistent, dims, study.dates, study.labels, country=country, grain=grain, **groups
     )
     by_region = audience_size(
         roster, dims, study.labels, provider_key=("provider", "region"), **groups

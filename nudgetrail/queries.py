@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -21,7 +22,7 @@ from nudgetrail.sources.standins import (
     STUDY,
     SampleSources,
 )
-from nudgetrail.sources.tables import cut
+from nudgetrail.sources.tables import cut, read_source, shared_folder, write_result
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -32,8 +33,8 @@ def query(build: Callable[[Sources], DataFrame]) -> Callable[[Sources], DataFram
     return build
 
 
-def _nudged(src: Sources) -> Nudged:
-    return STUDY.nudged(src, STUDY.roster(src))
+def _nudged(src: Sources, roster: DataFrame | None = None) -> Nudged:
+    return STUDY.nudged(src, STUDY.roster(src) if roster is None else roster)
 
 
 def _dims(src: Sources) -> DataFrame:
@@ -54,6 +55,16 @@ def campaign_roster_rows(src: Sources) -> DataFrame:
     return messages.campaign_roster_rows(src.send, src.context, src.track, CAMPAIGN_ROWS, DATES)
 
 
+@query
+def stored_roundtrip(src: Sources) -> DataFrame:
+    """The roster written to a name with a suffix, over an earlier result, and read by that name."""
+    roster = cut(STUDY.roster(src), "roster")
+    target = f"{shared_folder(roster.sparkSession).rstrip('/')}/kept-{uuid.uuid4().hex}/roster"
+    write_result(roster.where("opens > 0"), target, "_march")
+    write_result(roster, target, "_march")
+    return read_source(roster.sparkSession, f"{target}_march")
+
+
 @query
 def opener_count(src: Sources) -> DataFrame:
     return messages.opener_count(campaign_roster(src))
@@ -175,9 +186,14 @@ def trajectory(src: Sources) -> DataFrame:
     return STUDY.trajectory(src, nudged, STUDY.cycles(nudged))
 
 
+def _flags(src: Sources, roster: DataFrame | None = None) -> DataFrame:
+    nudged = _nudged(src, roster)
+    return STUDY.flags(src, nudged, STUDY.cycles(nudged))
+
+
 @query
 def flag_changes(src: Sources) -> DataFrame:
-    return cycles.flag_changes(trajectory(src))
+    return _flags(src)
 
 
 @query
@@ -185,6 +201,16 @@ def flag_changes_by_region(src: Sources) -> DataFrame:
     return cycles.flag_changes(trajectory(src), cycles.ITEM_KEY)
 
 
+@query
+def study_earlier_form(src: Sources) -> DataFrame:
+    """The flags of a study with the earlier roster and a look-ahead inside the region."""
+    study = replace(
+        STUDY, campaign=CAMPAIGN_ROWS, earlier_roster=True, lookahead_keys=cycles.ITEM_KEY
+    )
+    nudged = study.nudged(src, study.roster(src))
+    return study.flags(src, nudged, study.cycles(nudged))
+
+
 @query
 def first_change(src: Sources) -> DataFrame:
     return changes.first_change(flag_changes(src))
@@ -208,8 +234,9 @@ def persistence(src: Sources) -> DataFrame:
     return STUDY.persistent(cut(flag_changes(src), "flags"))
 
 
-def _summary(src: Sources, **options) -> DataFrame:
-    return report.pre_post_summary(persistence(src), _dims(src), DATES, LABELS, **options)
+def _summary(src: Sources, roster: DataFrame | None = None, **options) -> DataFrame:
+    lasting = STUDY.persistent(cut(_flags(src, roster), "flags"))
+    return report.pre_post_summary(lasting, _dims(src), DATES, LABELS, **options)
 
 
 @query
@@ -229,7 +256,7 @@ def pre_post_summary_by_provider(src: Sources) -> DataFrame:
 
 @query
 def country_filter_summary(src: Sources) -> DataFrame:
-    return _summary(src, country="Europe")
+    return _summary(src, country="East")
 
 
 @query
@@ -246,7 +273,8 @@ def audience_size_by_segment(src: Sources) -> DataFrame:
 
 @query
 def changed_share(src: Sources) -> DataFrame:
+    roster = cut(STUDY.roster(src), "roster")
     audience = report.audience_size(
-        STUDY.roster(src), _dims(src), LABELS, provider_key=("provider", "region")
+        roster, _dims(src), LABELS, provider_key=("provider", "region")
     )
-    return report.changed_share(_summary(src), audience)
+    return report.changed_share(_summary(src, roster), audience)

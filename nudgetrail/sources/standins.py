@@ -29,6 +29,7 @@ from nudgetrail.settings import (
     ReportLabels,
     StudyDates,
 )
+from nudgetrail.sources.tables import cut
 
 SCHEMAS = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
@@ -48,13 +49,13 @@ DATES = StudyDates(
 CAMPAIGN = CampaignSpec(
     message_types=("DIGEST", "DIGEST_EU"),
     provider_key="provider_id",
-    open_events=("open", "initial_open"),
+    open_events=("read", "reread"),
     internal_address="%@furniture.%",
 )
 CAMPAIGN_ROWS = CampaignSpec(
     message_types=("DIGEST",),
     provider_key="provider_id",
-    open_events=("open", "initial_open"),
+    open_events=("read", "reread"),
     internal_address="%@furniture.%",
     day_slack=0,
     environment="LIVE",
@@ -66,34 +67,26 @@ NUDGE = NudgeSpec(
     item_key="item_id",
     exclude_pattern="%furniture%",
 )
+# Cutoffs are quantiles of the sample's values, as scores: (35 - value) / 20.
 RATING = RatingRules(
-    special_country="EUROPE",
-    relabel={
-        "BEST": "TOP_VALUE",
-        "NICE": "GOOD_VALUE",
-        "MEAN": "FAIR_VALUE",
-        "DEAR": "HIGH_COST",
-        "STEEP": "OVER_COST",
-        "WILD_LOW": "OUTLIER",
-        "WILD_HIGH": "OUTLIER",
-        "NONE": "NA",
+    special_country="ASIA",
+    relabel={"T1": "LOWEST_QUARTER", "T2": "MIDDLE_HALF", "T3": "HIGHEST_QUARTER"},
+    display={
+        "LOWER_MIDDLE": "Middle",
+        "UPPER_MIDDLE": "Middle",
+        "MIDDLE_HALF": "Middle",
     },
-    display={"FAIR_VALUE": "Fair", "OK_VALUE": "Fair", "HIGH_COST": "High"},
-    top_label="Top Value",
+    top_label="Lowest Quarter",
     bands={
-        "AMERICA": Bands((-1.5, -0.5, 0.25, 1.0), 3.0),
-        "ASIA": Bands((-1.6, -0.6, 0.3, 1.1), 3.0),
-        "EUROPE": Bands((-1.75, -0.8, 0.4, 1.2), 3.0),
+        "AFRICA": Bands((-1.25, 0.85), 5.0),
+        "AMERICA": Bands((-3.85, -2.2, -1.25, 0.05, 0.85, 1.2), 5.0),
+        "MIDDLE EAST": Bands((0.05,), 4.0),
     },
     launch_date=date(2024, 1, 6),
 )
 LABELS = ReportLabels(
-    countries={
-        "AMERICA": "Americas",
-        "EUROPE": "Europe",
-        "ASIA": "Asia",
-    },
-    home_country="AMERICA",
+    countries={"ASIA": "East", "MIDDLE EAST": "East", "AFRICA": "South", "EUROPE": "North"},
+    home_country="EUROPE",
 )
 STUDY = Study(DATES, CAMPAIGN, NUDGE, RATING, LABELS)
 
@@ -152,10 +145,12 @@ def _context(messages: DataFrame) -> DataFrame:
 
 
 def _track(send: DataFrame) -> DataFrame:
+    again = F.when(F.col("click_time") > F.col("open_time"), F.col("click_time"))
     seen = F.array(
-        F.struct(F.lit("initial_open").alias("event_type"), F.col("open_time").alias("at")),
-        F.struct(F.lit("click").alias("event_type"), F.col("click_time").alias("at")),
-        F.struct(F.lit("unsubscribe").alias("event_type"), F.col("unsub_time").alias("at")),
+        F.struct(F.lit("read").alias("event_type"), F.col("open_time").alias("at")),
+        F.struct(F.lit("reread").alias("event_type"), again.alias("at")),
+        F.struct(F.lit("link").alias("event_type"), F.col("click_time").alias("at")),
+        F.struct(F.lit("leave").alias("event_type"), F.col("unsub_time").alias("at")),
     )
     old = F.when(F.col("region") == "NATION_3", "OLD_").otherwise("")
     return (
@@ -174,10 +169,10 @@ def _observation(events: DataFrame, providers: DataFrame) -> DataFrame:
     value = F.col("value")
     rating = _banded(
         value,
-        ("TOP_VALUE", "GOOD_VALUE", "FAIR_VALUE", "HIGH_COST", "OVER_COST"),
-        (8, 20, 45, 90),
+        ("LOWEST_QUARTER", "LOWER_MIDDLE", "UPPER_MIDDLE", "HIGHEST_QUARTER"),
+        (14, 34, 69),
     )
-    score = (F.lit(45.0) - value) / 30.0
+    score = (F.lit(35.0) - value) / 20.0
     second_item = F.when(F.col("event_type") == "error", 1).otherwise(0)
     return (
         events.where(F.col("event_type").isin("purchase", "error"))
@@ -192,7 +187,7 @@ def _observation(events: DataFrame, providers: DataFrame) -> DataFrame:
             F.col("ts").alias("run_time"),
             value.alias("price"),
             rating.alias("rating"),
-            F.when(value.between(20, 30), "OK_VALUE").otherwise(rating).alias("final_rating"),
+            F.when(value.between(23, 46), "MIDDLE_HALF").otherwise(rating).alias("final_rating"),
             score.alias("final_score"),
             score.alias("no_dealer_score"),
             F.when(value >= 2, score).alias("neutral_score"),
@@ -203,13 +198,8 @@ def _observation(events: DataFrame, providers: DataFrame) -> DataFrame:
 
 
 def _prediction2(observation: DataFrame) -> DataFrame:
-    """A second model that rates the first item only; ODD has no label in the study."""
-    low = F.col("low")
-    base = _banded(
-        low,
-        ("WILD_LOW", "BEST", "NICE", "MEAN", "ODD", "DEAR", "STEEP", "WILD_HIGH"),
-        (2, 10, 25, 40, 45, 70, 120),
-    )
+    """A second model that rates the first item only; the study has no label for UNSURE."""
+    base = _banded(F.col("low"), ("T1", "T2", "UNSURE", "T3"), (18, 50, 60))
     return (
         observation.where(F.col("item") == F.col("provider") * 2)
         .groupBy("item", F.to_date("run_time").alias("creation_date"), "country")
@@ -250,13 +240,10 @@ class SampleSources:
             )
         )
 
-    @cached_property
-    def _messages(self) -> DataFrame:
-        return _messages(self._events, self._providers)
-
     @cached_property
     def _sent(self) -> DataFrame:
-        return _send(self._messages, self._events)
+        """All messages, written once: sends, context and tracking are read from it."""
+        return cut(_send(_messages(self._events, self._providers), self._events), "messages")
 
     @cached_property
     def send(self) -> DataFrame:
@@ -264,7 +251,7 @@ class SampleSources:
 
     @cached_property
     def context(self) -> DataFrame:
-        return _context(self._messages)
+        return _context(self._sent)
 
     @cached_property
     def track(self) -> DataFrame:

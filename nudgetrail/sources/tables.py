@@ -13,28 +13,79 @@ def read_source(spark: SparkSession, name: str) -> DataFrame:
 
 
 def write_result(df: DataFrame, target: str, suffix: str = "") -> DataFrame:
-    """Creates or replaces ``target + suffix`` (a path or a catalog table) and reads it back."""
+    """Creates or replaces ``target + suffix`` (a path or a catalog table) and reads it back.
+
+    The new rows are written whole under a name of their own before the old ones go, so a write
+    that fails leaves the last result as it was, and ``df`` may read from it. Tables of a catalog
+    other than the session's are replaced by that catalog.
+    """
     name = target + suffix
-    writer = df.write.mode("overwrite")
+    spark = df.sparkSession
+    fresh = f"{name}__{uuid.uuid4().hex}"
     if "/" in name:
-        writer.parquet(name)
+        df.write.parquet(fresh)
+        _switch_folder(spark, fresh, name)
+    elif name.count(".") == 2 and not name.startswith("spark_catalog."):
+        df.writeTo(name).createOrReplace()
     else:
-        writer.format("parquet").saveAsTable(name)
-    return read_source(df.sparkSession, name)
+        df.write.format("parquet").saveAsTable(fresh)
+        _switch_table(spark, fresh, name)
+    return read_source(spark, name)
+
+
+def _switch_folder(spark: SparkSession, fresh: str, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    old = path(f"{fresh}__old")
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    replaced = fs.exists(path(name))
+    if replaced and not fs.rename(path(name), old):
+        raise OSError(f"cannot move {name} away")
+    if not fs.rename(path(fresh), path(name)):
+        if replaced:
+            fs.rename(old, path(name))
+        raise OSError(f"cannot move {fresh} to {name}")
+    if replaced:
+        fs.delete(old, True)
+
 
+def _switch_table(spark: SparkSession, fresh: str, name: str) -> None:
+    fresh, name = (x.removeprefix("spark_catalog.") for x in (fresh, name))
+    replaced = spark.catalog.tableExists(name)
+    if replaced:
+        spark.sql(f"ALTER TABLE {name} RENAME TO {fresh}__old")
+    try:
+        spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
+    except Exception:
+        if replaced:
+            spark.sql(f"ALTER TABLE {fresh}__old RENAME TO {name}")
+        raise
+    if replaced:
+        spark.sql(f"DROP TABLE {fresh}__old")
 
-def _shared_folder(spark: SparkSession) -> str:
+
+def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset, one beside the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
 
 
+def _stage_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/nudgetrail-{spark.sparkContext.applicationId}"
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Deletes the stages of this application, once nothing is read from its results any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_stage_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut(df: DataFrame, stage: str) -> DataFrame:
     """Writes a stage to the shared checkpoint folder and returns it read back.
 
     For a stage that several later ones read: it is computed once, a lost executor cannot undo
-    it, and each reader scans only its own columns. Every call writes a folder of its own.
+    it, and each reader scans only its own columns. Every call writes a folder of its own;
+    ``drop_stages`` deletes those of the application.
     """
-    path = f"{_shared_folder(df.sparkSession).rstrip('/')}/{stage}-{uuid.uuid4().hex}"
+    path = f"{_stage_folder(df.sparkSession)}/{stage}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

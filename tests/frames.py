@@ -50,7 +50,7 @@ SCHEMAS = {
 DEFAULTS = {
     "send": {"region": "R", "msg_type": "NUDGE", "address": "a@out.example"},
     "context": {"region": "R"},
-    "track": {"region": "R", "environment": "LIVE", "event_type": "open"},
+    "track": {"region": "R", "environment": "LIVE", "event_type": "read"},
     "roster": {"region": "R", "sends": 1, "opens": 1},
     "nudges": {"provider": 1, "region": "R", "item": 10},
     "sends": {
@@ -93,7 +93,7 @@ DATES = StudyDates(
 CAMPAIGN = CampaignSpec(
     message_types=("DIGEST",),
     provider_key="provider",
-    open_events=("open", "initial_open"),
+    open_events=("read", "reread"),
     internal_address="%@in.%",
 )
 NUDGE = NudgeSpec(message_types=("NUDGE",), provider_key="provider", item_key="item")

@@ -43,7 +43,7 @@ def test_roster_flags_stay_one_with_several_events(spark):
         spark,
         [digest("a"), digest("b")],
         [provider("a", 1), provider("b", 2)],
-        [{"msg_id": "a"}, {"msg_id": "a", "event_type": "initial_open"}, {"msg_id": "b",
+        [{"msg_id": "a"}, {"msg_id": "a", "event_type": "reread"}, {"msg_id": "b",
          "event_type": "click"}],
     )
     assert rows(found, *ROSTER) == [(1, "R", 1, 1), (2, "R", 1, 0)]

@@ -9,7 +9,7 @@ from nudgetrail.operators.cycles import ITEM_KEY
 from nudgetrail.plans.study import SourceTables, run_study
 from nudgetrail.settings import NudgeSpec, StudyDates
 from nudgetrail.sources.standins import DATES, STUDY, SampleSources
-from nudgetrail.sources.tables import cut, read_source, write_result
+from nudgetrail.sources.tables import cut, drop_stages, read_source, write_result
 from sampled import duck_on, oracle_rows, spark_rows
 
 SAMPLE = "/root/testdata/sf0.01"
@@ -86,6 +86,25 @@ def test_tables_are_replaced(spark):
     spark.sql("DROP TABLE kept_numbers_a")
 
 
+@pytest.mark.parametrize("place", ["folder", "table"])
+def test_a_failing_write_leaves_the_last_result(spark, tmp_path, place):
+    target = f"{tmp_path}/numbers" if place == "folder" else "last_numbers"
+    write_result(spark.range(3).toDF("n"), target)
+    broken = spark.range(9).selectExpr("if(id = 7, raise_error('lost'), id) AS n")
+    with pytest.raises(Exception, match="lost"):
+        write_result(broken, target)
+    assert read_source(spark, target).count() == 3
+    doubled = read_source(spark, target).selectExpr("n * 2 AS n")
+    assert write_result(doubled, target).agg({"n": "sum"}).first()[0] == 6
+
+
+def test_stages_can_be_dropped(spark):
+    other = cut(spark.range(3).toDF("n"), "numbers").inputFiles()[0]
+    drop_stages(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(other)
+
+
 def test_sources_can_be_plain_frames(spark):
     sample = SampleSources(spark, SAMPLE)
     src = SourceTables(**{f: getattr(sample, f) for f in SourceTables.__dataclass_fields__})
