@@ -6,12 +6,12 @@ by content: ``PARAGRAPH`` words from an anchor on, and an anchor is every word w
 more than ``PARAGRAPH + WINDOW - 2`` = 50 words has an anchor, and so a whole paragraph, at the same
 place in each of its copies.
 
-Bands are tuned for recall: ``BANDS`` of ``ROWS`` MinHash values each find equal paragraphs always,
-those that differ by a word at an end (similarity 0.9) with a probability of 0.97 and any pair of
-similarity 0.8 with 0.87; a copied passage has several paragraphs. Every paragraph of a
-bucket that spans documents is compared with the first one of the bucket; equal content needs no
-more, others are verified by exact Jaccard similarity of their word shingles. Components of links
-are classes, the first paragraph of a class stays, and those of other documents are removed.
+Bands are tuned for recall: ``BANDS`` of ``ROWS`` MinHash values each find equal paragraphs always
+and any pair of similarity 0.8 with a probability of 0.87. A row of a band is a distinct content.
+Every content of a bucket that spans documents is compared with the smallest one of the bucket, and
+buckets that are not one component then are compared within, in blocks, wherever two contents are
+not yet connected: by the exact Jaccard similarity of their word shingles, all of them. Components
+of links are classes, the first paragraph of a class stays, and those of other documents are removed.
 
 Documents shorter than a paragraph and null texts have none and stay as they are. Repeats within one
 document are not removed for their own sake. Ties are broken by doc_id, then place; rows that repeat
@@ -23,6 +23,7 @@ elsewhere.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ PARAGRAPH = 25
 WINDOW = 27
 BANDS, ROWS = 2, 2
 SIMILAR = 0.8
+BLOCK = 256  # contents of a bucket compared at a time
 
 
 def _runs(word: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -83,8 +85,8 @@ def _band(rows: np.ndarray, band: int) -> np.ndarray:
     return key
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, span, content, keys): every paragraph of every text.
+def paragraphs(docs: DataFrame, keyed: bool = True) -> DataFrame:
+    """(doc_id, span, content, keys): every paragraph of every text; the keys if ``keyed``.
 
     ``span`` holds start and end in bytes of UTF-8, see ``_start``; ``content`` names the words.
     """
@@ -97,25 +99,26 @@ def paragraphs(docs: DataFrame) -> DataFrame:
             place = np.arange(len(owner)) - np.repeat(words.first[:-1], count)
             whole = np.flatnonzero(np.repeat(count, count) - place >= PARAGRAPH)
             at = whole[_anchors(_runs(words.hash, whole, SHINGLE), owner[whole])]
+            ids = batch.column("doc_id").to_numpy(False)
+            found = [
+                pa.array(ids[owner[at]], pa.int64()),
+                pa.array((words.start[at] << 32) + words.end[at + PARAGRAPH - 1]),
+                pa.array(_runs(words.hash, at, PARAGRAPH).view(np.int64)),
+            ]
+            if not keyed:
+                yield pa.RecordBatch.from_arrays(found, names=["doc_id", "span", "content"])
+                continue
             keys = []
             for part in range(0, len(at), 1 << 15):
                 rows = _shingles(words.hash, at[part : part + (1 << 15)])
                 keys.append(np.stack([_band(rows, b) for b in range(BANDS)], axis=1))
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros((0, BANDS), np.int64)
-            ids = batch.column("doc_id").to_numpy(False)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids[owner[at]], pa.int64()),
-                    pa.array((words.start[at] << 32) + words.end[at + PARAGRAPH - 1]),
-                    pa.array(_runs(words.hash, at, PARAGRAPH).view(np.int64)),
-                    pa.ListArray.from_arrays(
-                        np.arange(0, flat.size + 1, BANDS, dtype=np.int32), flat.reshape(-1)
-                    ),
-                ],
-                names=["doc_id", "span", "content", "keys"],
-            )
+            ends = np.arange(0, flat.size + 1, BANDS, dtype=np.int32)
+            found.append(pa.ListArray.from_arrays(ends, flat.reshape(-1)))
+            yield pa.RecordBatch.from_arrays(found, names=["doc_id", "span", "content", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, span long, content long, keys array<long>")
+    schema = "doc_id long, span long, content long" + (", keys array<long>" if keyed else "")
+    return docs.mapInArrow(run, schema)
 
 
 def _start(span: str) -> Column:
@@ -126,87 +129,211 @@ def _end(span: str) -> Column:
     return F.col(span).bitwiseAND((1 << 32) - 1).cast("int")
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of the word shingles of two paragraphs."""
-    sets = []
-    for text in (a, b):
-        word = words_of([text]).hash
-        sets.append(np.unique(_runs(word, np.arange(max(0, len(word) - SHINGLE + 1)), SHINGLE)))
-    shared = len(np.intersect1d(*sets, assume_unique=True))
-    total = sum(map(len, sets)) - shared
-    return shared / total if total else 0.0
+def _grams(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of each paragraph in order, and which of them differ from the one before."""
+    rows = _shingles(words_of(raws).hash, np.arange(len(raws)) * PARAGRAPH)
+    rows.sort(axis=1)
+    fresh = np.ones(rows.shape, dtype=bool)
+    fresh[:, 1:] = rows[:, 1:] != rows[:, :-1]
+    return rows, fresh
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) between contents whose paragraphs are similar; one example of each pair is read.
+def similarities(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """Jaccard similarity of the word shingles of each two paragraphs."""
+    (x, new_x), (y, new_y) = _grams(one), _grams(two)
+    shared = ((x[:, :, None] == y[:, None, :]).any(axis=2) & new_x).sum(axis=1)
+    return shared / (new_x.sum(axis=1) + new_y.sum(axis=1) - shared)
 
-    Pairs have (a, b) and where an example of each stands: doc_a, span_a, doc_b, span_b.
-    """
+
+def _said(spots: DataFrame, rows: DataFrame) -> DataFrame:
+    """(content, raw): the words of each content, read where it stands first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist())
-            keep = pa.array([similarity(x, y) >= SIMILAR for x, y in both])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"]
-            )
+            words = words_of(batch.column("raw").to_pylist())
+            whole = np.flatnonzero(np.diff(words.first) == PARAGRAPH)
+            name = _runs(words.hash, words.first[whole], PARAGRAPH).view(np.int64)
+            same = whole[name == batch.column("content").to_numpy(False)[whole]]
+            yield batch.take(pa.array(same))
 
-    raw = F.col("text").cast("binary")
-    for side in "ab":
-        doc = docs.select(F.col("doc_id").alias(f"doc_{side}"), raw.alias("raw"))
-        span = f"span_{side}"
-        part = F.substring("raw", _start(span) + 1, _end(span) - _start(span))
-        pairs = pairs.join(doc, f"doc_{side}").withColumn(f"p{side}", part).drop("raw")
-    return pairs.select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long").distinct()
+    raw = F.substring(F.col("text").cast("binary"), _start("span") + 1, _end("span") - _start("span"))
+    found = spots.join(rows, "doc_id").select("content", raw.alias("raw"))
+    return found.mapInArrow(run, "content long, raw binary").dropDuplicates(["content"])
 
 
-def repeated_paragraphs(docs: DataFrame, stages: Stages) -> DataFrame:
-    """(doc_id, start, end, class_id, keeper_doc_id, keeper_start, removed).
+def _verified(pairs: DataFrame, said: DataFrame) -> DataFrame:
+    """Pairs (a, b) of contents that are similar."""
 
-    Every paragraph of a class that spans documents; class_id is the smallest content of the class.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices([batch], "ra"):
+                one, two = (part.column(c).to_pylist() for c in ("ra", "rb"))
+                keep = pa.array(similarities(one, two) >= SIMILAR)
+                yield part.select(["a", "b"]).filter(keep)
+
+    joined = pairs.join(said.toDF("a", "ra"), "a").join(said.toDF("b", "rb"), "b")
+    return joined.select("a", "b", "ra", "rb").mapInArrow(run, "a long, b long")
+
+
+def _within(members: DataFrame, said: DataFrame) -> DataFrame:
+    """Links (a, b) between contents of a bucket that are not connected yet.
+
+    Members (key, content, component, least) are dealt to blocks, those of the least component of
+    the bucket apart. Every two blocks of a bucket meet in one group but for two of that component,
+    so that no group has more than about two blocks; buckets of less than a block share a group.
+    A group compares all of a bucket that meet exactly and returns a forest of links.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        name, key = table.column("content").to_numpy(), table.column("key").to_numpy()
+        part = table.column("component").to_numpy()
+        block = table.column("block").to_numpy()
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        rows, fresh = _grams(table.column("raw").to_pylist())
+        size = fresh.sum(axis=1)
+        shingle, number, times = np.unique(rows[fresh], return_inverse=True, return_counts=True)
+        column = np.cumsum(times > 1) - 1
+        owner = np.nonzero(fresh)[0]
+        twice = times[number] > 1
+        has = np.zeros((len(name), int((times > 1).sum())), dtype=np.float32)
+        has[owner[twice], column[number[twice]]] = 1
+        one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        shared = has[one] @ has[two].T
+        alike = shared / (size[one][:, None] + size[two] - shared)
+        near = (alike >= SIMILAR) & (part[one][:, None] != part[two])
+        near &= key[one][:, None] == key[two]
+        root = {x: x for x in part.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        a, b = [], []
+        for i, j in np.argwhere(near).tolist():
+            i, j = one[i], two[j]
+            x, y = find(int(part[i])), find(int(part[j]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                a.append(max(name[i], name[j]))
+                b.append(min(name[i], name[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    main = F.col("component") == F.col("least")
+    counted = members.groupBy("key").agg(
+        F.count("*").alias("n"), F.count(F.when(main, 1)).alias("mains")
+    )
+    small, others = F.col("n") <= BLOCK, F.col("n") - F.col("mains")
+    bins = max(1, members.count() // BLOCK)
+    counted = counted.select(
+        "key",
+        F.when(small, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.col("key")).alias("home"),
+        small.alias("small"),
+        F.when(small, 0).otherwise(F.ceil(F.col("mains") / BLOCK)).cast("int").alias("mains"),
+        F.when(small, 1).otherwise(F.ceil(others / BLOCK)).cast("int").alias("others"),
+    )
+    spread, apart = F.xxhash64("content"), main & ~F.col("small")
+    block = F.when(apart, F.col("others") + F.pmod(spread, "mains"))
+    block = block.otherwise(F.pmod(spread, "others")).cast("int")
+    last = F.when(apart, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    dealt = members.join(counted, "key").withColumn("block", block)
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(
+        "small", "home", "key", "content", "component", "block",
+        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+    )
+    met = met.join(said, "content")
+    return met.groupBy("small", "home", "low", "high").applyInArrow(compare, "a long, b long")
+
+
+def _links(contents: DataFrame, rows: DataFrame, stages: Stages) -> DataFrame:
+    """Links (a, b) that connect all similar contents that share a bucket that spans documents.
+
+    Bands are taken one after another, so that the disk holds the rows of one at a time.
+    """
+    found = []
+    for band in range(BANDS):
+        keyed = contents.select(F.col("keys")[band].alias("key"), "content", "doc_id", "last")
+        hubs = keyed.groupBy("key").agg(
+            F.min("content").alias("hub"), F.max("content").alias("most"),
+            F.min("doc_id").alias("doc_id"), F.max("last").alias("last"),
+        )
+        hubs = hubs.where("hub < most AND doc_id < last").select("key", "hub")
+        hubs = stages.cut(hubs, f"hubs-{band}")
+        joined = keyed.select("key", "content").join(hubs, "key")
+        found.append(stages.cut(joined, f"members-{band}"))
+        stages.drop(f"hubs-{band}")
+    members = reduce(DataFrame.unionByName, found)
+    wanted = stages.cut(members.select("content").distinct(), "wanted")
+    spots = contents.select("content", "doc_id", "span").join(wanted, "content", "left_semi")
+    said = stages.cut(_said(spots, rows), "said")
+    pairs = members.where("content > hub").select("content", "hub").distinct().toDF("a", "b")
+    return _connected(members, _verified(pairs, said), said, stages)
+
+
+def _connected(members: DataFrame, links: DataFrame, said: DataFrame, stages: Stages) -> DataFrame:
+    """The links of hubs, and those between members that these leave apart."""
+    links = stages.cut(links, "hub-links")
+    # A hub is smaller than what links to it: two jumps bring most members to one root. Whoever is
+    # not there yet is only tested once more than it had to be.
+    up = stages.cut(links.groupBy("a").agg(F.min("b").alias("up")), "up")
+    for jump in range(2):
+        over = up.toDF("up", "over")
+        up = up.join(over, "up", "left").select("a", F.coalesce("over", "up").alias("up"))
+        up = stages.cut(up, f"up-{jump}")
+    placed = members.join(up.toDF("content", "up"), "content", "left").select(
+        "key", "content", F.coalesce("up", "content").alias("component")
+    )
+    placed = stages.cut(placed, "placed")
+    mixed = placed.groupBy("key").agg(
+        F.min("component").alias("least"), F.max("component").alias("most")
+    )
+    mixed = stages.cut(mixed.where("least < most").select("key", "least"), "mixed")
+    more = stages.cut(_within(placed.join(mixed, "key"), said), "more-links")
+    return links.unionByName(more)
+
+
+def _repeats(docs: DataFrame, stages: Stages) -> DataFrame:
+    """(doc_id, span, class_id, keeper, at, own, own_at): see ``repeated_paragraphs``.
+
+    ``keeper`` and ``at`` are where the class stands first, ``own`` and ``own_at`` the content.
     """
     rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = rows.where("doc_id IS NOT NULL")
-    units = stages.cut(paragraphs(rows), "paragraphs")
-    keyed = units.select(F.explode("keys").alias("key"), "doc_id", "span", "content")
-    spot = F.struct("doc_id", "span", "content")
-    hubs = keyed.groupBy("key").agg(F.min(spot).alias("hub"), F.max("doc_id").alias("last"))
-    hubs = stages.cut(hubs.where("hub.doc_id < last").select("key", "hub"), "hubs")
-    members = stages.cut(keyed.join(hubs, "key").drop("key"), "members")
-    stages.drop("paragraphs", "hubs")
-
-    high, low = (f("content", "hub.content") for f in (F.greatest, F.least))
-    pairs = (
-        members.where(F.col("content") != F.col("hub.content"))
-        .groupBy(high.alias("a"), low.alias("b"))
-        .agg(F.min(F.struct(spot.alias("own"), "hub")).alias("x"))
-        .select(
-            "a", "b", F.col("x.own.doc_id").alias("doc_a"), F.col("x.own.span").alias("span_a"),
-            F.col("x.hub.doc_id").alias("doc_b"), F.col("x.hub.span").alias("span_b"),
-        )
-    )
-    pairs = stages.cut(pairs, "pairs")
-    wanted = pairs.select(F.col("doc_a").alias("doc_id")).union(pairs.select("doc_b")).distinct()
-    wanted = rows.join(stages.cut(wanted, "wanted"), "doc_id", "left_semi")
-    links = stages.cut(_verified(pairs, stages.cut(wanted, "texts")), "links")
+    units = stages.cut(paragraphs(rows, keyed=False), "paragraphs")
+    contents = paragraphs(rows).groupBy("content").agg(
+        F.min(F.struct("doc_id", "span", "keys")).alias("x"), F.max("doc_id").alias("last")
+    )
+    contents = stages.cut(contents.select("content", "x.*", "last"), "contents")
+    links = _links(contents, rows, stages)
     classes = components(links, stages).withColumnRenamed("node", "content")
+    stages.drop("placed", "said", *[f"members-{band}" for band in range(BANDS)])
 
-    spots = stages.cut(members.drop("hub").distinct(), "spots")
-    named = spots.join(classes, "content", "left").select(
-        "doc_id", "span", F.coalesce("component", "content").alias("class_id")
+    named = contents.drop("keys").join(classes, "content", "left")
+    named = named.where("component IS NOT NULL OR doc_id < last").select(
+        "content", F.coalesce("component", "content").alias("class_id"), "doc_id", "span", "last"
     )
     named = stages.cut(named, "named")
-    stages.drop("members", "pairs", "texts", "spots")
     keepers = named.groupBy("class_id").agg(
-        F.min(F.struct("doc_id", "span")).alias("keeper"), F.max("doc_id").alias("last")
+        F.min(F.struct("doc_id", "span")).alias("keeper"), F.max("last").alias("last")
     )
     keepers = keepers.where("keeper.doc_id < last").select(
-        "class_id", F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.span").alias("at")
+        "class_id", F.col("keeper.doc_id").alias("keeper"), F.col("keeper.span").alias("at")
     )
-    return named.join(stages.cut(keepers, "keepers"), "class_id").select(
+    named = named.drop("last").withColumnsRenamed({"doc_id": "own", "span": "own_at"})
+    named = stages.cut(named.join(keepers, "class_id"), "kept")
+    stages.drop("contents", "named")
+    return units.join(named, "content").distinct()
+
+
+def repeated_paragraphs(docs: DataFrame, stages: Stages) -> DataFrame:
+    """(doc_id, start, end, class_id, keeper_doc_id, keeper_start, removed).
+
+    Every paragraph of a class that spans documents; class_id is the smallest content of the class.
+    """
+    return _repeats(docs, stages).select(
         "doc_id", _start("span").alias("start"), _end("span").alias("end"), "class_id",
-        "keeper_doc_id", _start("at").alias("keeper_start"),
-        (F.col("doc_id") != F.col("keeper_doc_id")).alias("removed"),
+        F.col("keeper").alias("keeper_doc_id"), _start("at").alias("keeper_start"),
+        (F.col("doc_id") != F.col("keeper")).alias("removed"),
     )
 
 

@@ -100,3 +100,56 @@ def test_vectors_link_as_by_brute_force(spark):
         assert got[125].component_id == 60 and got[139].component_id == 130
         assert all(got[i].n_links == 0 and got[i].kept for i in range(500, 505))
     assert hnsw.linked_vectors(table.limit(0)).count() == 0
+
+
+def _near_links(text):
+    """Pairs of texts of one paragraph that are similar, by brute force."""
+    sets = {}
+    for d, words in text.items():
+        w = words.split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    return {
+        (a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        for a in text for b in text
+        if a < b and len(sets[a] & sets[b]) >= substrings.SIMILAR * len(sets[a] | sets[b])
+    }
+
+
+def _classes(spark, text):
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string").repartition(3)
+    found = substrings.repeated_paragraphs(docs, Stages(spark, "test")).collect()
+    return {r.doc_id: r.class_id for r in found}
+
+
+def test_paragraphs_of_a_bucket_are_linked_past_its_hub(spark):
+    text = {}
+    for i in range(40):  # a template with ten endings, each in three versions
+        for k in range(10):
+            for last in range(3):
+                ends = [f"e{i}k{k}w{j}" for j in range(6)]
+                words = [*[f"t{i}w{j}" for j in range(18)], *ends, f"v{last}"]
+                text[len(text)] = " ".join(words)
+    near = {p: s for p, s in _near_links(text).items() if p[0] // 3 == p[1] // 3}
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    keys = {r.doc_id: set(r["keys"]) for r in substrings.paragraphs(docs).collect()}
+    got = _classes(spark, text)
+    met = [(a, b) for a, b in near if keys[a] & keys[b]]
+    lost = [(a, b) for a, b in met if a not in got or got[a] != got.get(b)]
+    assert len(near) == 1200 and len(met) > 1100 and not lost, (len(met), len(lost))
+    assert len(set(got.values())) == 400  # endings stay apart
+
+
+def test_blocks_of_a_bucket_find_what_all_pairs_find(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BLOCK", 4)
+    name = [" ".join([f"k{k // 3}w{j}" for j in range(24)] + [f"v{k}"]) for k in range(60)]
+    said = spark.createDataFrame([(k, x.encode()) for k, x in enumerate(name)], "content long, raw binary")
+    for main in (1, 30):  # contents already connected to the hub
+        rows = [(5, k, min(k, 0) if k < main else k, 0) for k in range(60)]
+        members = spark.createDataFrame(rows, "key long, content long, component long, least long")
+        links = [tuple(r) for r in substrings._within(members, said).distinct().collect()]
+        first = {k: 0 if k < main else k for k in range(60)}
+        got = components(
+            spark.createDataFrame(links + [(k, v) for k, v in first.items() if k != v or k == 0],
+                                  "a long, b long"), Stages(spark, "test")).collect()
+        part = {r.node: r.component for r in got}
+        assert all(part.get(k, k) == part.get(k - k % 3, k - k % 3) for k in range(main, 60))
