@@ -7,7 +7,7 @@ more than ``PARAGRAPH + WINDOW - 2`` = 50 words has an anchor, and so a whole pa
 place in each of its copies.
 
 Bands are tuned for recall: ``BANDS`` of ``ROWS`` MinHash values each find equal paragraphs always
-and any pair of similarity 0.8 with a probability of 0.87. A row of a band is a distinct content.
+and any pair of similarity 0.8 with a probability of 0.994. A row of a band is a distinct content.
 Every content of a bucket that spans documents is compared with the smallest one of the bucket, and
 buckets that are not one component then are compared within, in blocks, wherever two contents are
 not yet connected: by the exact Jaccard similarity of their word shingles, all of them. Components
@@ -37,7 +37,7 @@ from nudgetrail.llm.words import U64, mix, words_of
 SHINGLE = 5
 PARAGRAPH = 25
 WINDOW = 27
-BANDS, ROWS = 2, 2
+BANDS, ROWS = 5, 2
 SIMILAR = 0.8
 BLOCK = 256  # contents of a bucket compared at a time
 

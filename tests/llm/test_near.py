@@ -121,6 +121,19 @@ def _classes(spark, text):
     return {r.doc_id: r.class_id for r in found}
 
 
+def test_similar_paragraphs_are_found(spark):
+    text = {}
+    for i in range(300):  # the first and the last word differ: similarity 19/23
+        words = [f"f{i}w{j}" for j in range(25)]
+        text[2 * i] = " ".join(words)
+        text[2 * i + 1] = " ".join(["x", *words[1:-1], "y"])
+    near = _near_links(text)
+    assert len(near) == 300 and max(near.values()) < 0.83
+    got = _classes(spark, text)
+    found = sum(got.get(a, a) == got.get(b, -b) for a, b in near)
+    assert found >= 0.99 * len(near), found
+
+
 def test_paragraphs_of_a_bucket_are_linked_past_its_hub(spark):
     text = {}
     for i in range(40):  # a template with ten endings, each in three versions
