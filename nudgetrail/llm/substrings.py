@@ -39,6 +39,9 @@ PARAGRAPH = 25
 WINDOW = 27
 BANDS, ROWS = 5, 2
 SIMILAR = 0.8
+CONTEXT = WINDOW + 2  # equal words beside equal paragraphs are fewer, or hold one more
+NEXT = 256  # bytes to the next paragraph of a chain
+LOW = (1 << 32) - 1
 BLOCK = 256  # contents of a bucket compared at a time
 
 
@@ -337,15 +340,121 @@ def repeated_paragraphs(docs: DataFrame, stages: Stages) -> DataFrame:
     )
 
 
+def _chains(removed: DataFrame) -> DataFrame:
+    """(doc_id, source, low, high, shift, spans): runs of removed paragraphs beside their source.
+
+    Spans of a chain stand ``shift`` bytes earlier than in the source, which has them in low to high.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, found in zip(batch.column("doc_id").to_pylist(), batch.column("found").to_pylist()):
+                places = sorted(
+                    (x["source"], (x["at"] >> 32) - (x["span"] >> 32), x["span"], x["at"]) for x in found
+                )
+                for source, shift, span, at in places:
+                    last = rows[-1] if rows else None
+                    if last and last[0] == doc and (last[1], last[4]) == (source, shift):
+                        if (at >> 32) - last[3] <= NEXT:
+                            last[3] = max(last[3], at & LOW)
+                            last[5].append(span)
+                            continue
+                    rows.append([doc, source, at >> 32, at & LOW, shift, [span]])
+            columns = list(zip(*rows)) or [[]] * 6
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+            names = ["doc_id", "source", "low", "high", "shift", "spans"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    schema = "doc_id long, source long, low long, high long, shift long, spans array<long>"
+    return removed.mapInArrow(run, schema)
+
+
+def _segments(chains: DataFrame, rows: DataFrame) -> DataFrame:
+    """(source, low, high, start, raw): bytes low to high of a text, with CONTEXT words about them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            out: list[tuple] = []
+            for source, text, parts in zip(*(batch.column(c).to_pylist() for c in batch.schema.names)):
+                raw = text.encode()
+                words = words_of([raw])
+                for low, high in [(x["low"], x["high"]) for x in parts]:
+                    first = max(0, int(np.searchsorted(words.start, low)) - CONTEXT)
+                    last = min(len(words.end), int(np.searchsorted(words.end, high)) + 1 + CONTEXT)
+                    if first < last:
+                        start = int(words.start[first])
+                        out.append((source, low, high, start, raw[start : int(words.end[last - 1])]))
+            columns = list(zip(*out)) or [[]] * 5
+            kinds = [pa.int64()] * 4 + [pa.binary()]
+            names = ["source", "low", "high", "start", "raw"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    parts = chains.groupBy("source").agg(F.collect_set(F.struct("low", "high")).alias("parts"))
+    joined = rows.join(parts, F.col("doc_id") == F.col("source")).select("source", "text", "parts")
+    found = joined.mapInArrow(run, "source long, low long, high long, start long, raw binary")
+    return found.groupBy("source", "low", "high").agg(F.min(F.struct("start", "raw")).alias("said"))
+
+
+def _extended(text: bytes, chains: list[dict]) -> list[tuple[int, int]]:
+    """The spans of all chains, each with the words about it that its source has there as well."""
+    own = words_of([text])
+    cut = []
+    for chain in chains:
+        other = words_of([chain["raw"]])
+        done = 0
+        for span in sorted(chain["spans"]):
+            start, end = span >> 32, span & LOW
+            if end <= done:
+                continue
+            cut.append((start, end))
+            i = int(np.searchsorted(own.start, start))
+            k = int(np.searchsorted(other.start, start + chain["shift"] - chain["start"]))
+            if own.end[i + PARAGRAPH - 1 : i + PARAGRAPH].tolist() != [end]:
+                continue  # the doc_id has another text as well
+            # A similar paragraph may begin a word or two beside the source's.
+            beside = [
+                (int((own.hash[i : i + PARAGRAPH] == other.hash[j : j + PARAGRAPH]).sum()), -abs(j - k), j)
+                for j in range(max(0, k - 2), k + 3)
+                if j + PARAGRAPH <= len(other.hash)
+            ]
+            if not beside:
+                continue
+            j = max(beside)[2]
+            n = min(i, j)
+            before = np.flatnonzero(own.hash[i - n : i][::-1] != other.hash[j - n : j][::-1])
+            left = int(before[0]) if len(before) else n
+            i, j = i + PARAGRAPH, j + PARAGRAPH
+            n = min(len(own.hash) - i, len(other.hash) - j)
+            after = np.flatnonzero(own.hash[i : i + n] != other.hash[j : j + n])
+            right = int(after[0]) if len(after) else n
+            done = int(own.end[i + right - 1])
+            cut.append((int(own.start[i - PARAGRAPH - left]), done))
+    return cut
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, their texts cut where a passage was kept in another document.
 
+    A removed paragraph takes along the words before and after it as far as they are the same in
+    the first document of its class, and in the first that has just this paragraph.
     n_chars, where there is one, follows the text. A document of which nothing is left is dropped.
     """
     stages = Stages(docs.sparkSession, "substrings")
-    removed = repeated_paragraphs(docs, stages).where("removed")
-    spans = removed.groupBy(F.col("doc_id").alias("cut_doc")).agg(
-        F.collect_set(F.struct("start", "end")).alias("cut_spans")
+    rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = rows.where("doc_id IS NOT NULL")
+    removed = _repeats(docs, stages).where("doc_id != keeper")
+    first = F.struct(F.col("keeper").alias("source"), "at")
+    exact = F.struct(F.col("own").alias("source"), F.col("own_at").alias("at"))
+    removed = removed.select("doc_id", "span", F.explode(F.array_distinct(F.array(first, exact))).alias("x"))
+    removed = removed.where("x.source < doc_id").groupBy("doc_id").agg(
+        F.collect_list(F.struct("span", "x.source", "x.at")).alias("found")
+    )
+    chains = stages.cut(_chains(removed), "chains")
+    stages.drop("paragraphs", "kept")
+    said = stages.cut(_segments(chains, rows), "segments")
+    spans = chains.join(said, ["source", "low", "high"]).groupBy(F.col("doc_id").alias("cut_doc")).agg(
+        F.collect_list(F.struct("spans", "shift", "said.start", "said.raw")).alias("cut_spans")
     )
     spans = stages.cut(spans, "spans")
 
@@ -356,10 +465,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             text, keep = [], []
             found = batch.column("cut_spans").to_pylist()
-            for t, spans in zip(batch.column("text").to_pylist(), found, strict=True):
-                left = t if spans is None else _left(t, spans)
+            for t, chains in zip(batch.column("text").to_pylist(), found, strict=True):
+                left = t if chains is None else _left(t, chains)
                 text.append(left)
-                keep.append(spans is None or left.strip() != "")
+                keep.append(chains is None or left.strip() != "")
             out = {c: batch.column(c) for c in columns}
             out["text"] = pa.array(text, batch.schema.field("text").type)
             if "n_chars" in out:
@@ -371,10 +480,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     return joined.select(*columns, "cut_spans").mapInArrow(run, docs.schema)
 
 
-def _left(text: str, spans: list[dict]) -> str:
-    """The text without the spans, which may overlap."""
+def _left(text: str, chains: list[dict]) -> str:
+    """The text without the chains and what they take along; they may overlap."""
     raw, kept, at = text.encode(), [], 0
-    for start, end in sorted((x["start"], x["end"]) for x in spans):
+    for start, end in sorted(_extended(raw, chains)):
         kept.append(raw[at : max(at, start)])
         at = max(at, end)
     return b"".join([*kept, raw[at:]]).decode()

@@ -166,3 +166,23 @@ def test_blocks_of_a_bucket_find_what_all_pairs_find(spark, monkeypatch):
                                   "a long, b long"), Stages(spark, "test")).collect()
         part = {r.node: r.component for r in got}
         assert all(part.get(k, k) == part.get(k - k % 3, k - k % 3) for k in range(main, 60))
+
+
+def test_a_passage_is_cut_whole(spark):
+    text, passage = {}, {}
+    for i in range(20):
+        words = [f"p{i}w{j}" for j in range((51, 60, 120, 300)[i % 4])]
+        passage[i] = {tuple(words[j : j + 5]) for j in range(len(words) - 4)}
+        for copy in range(3):
+            own = [f"d{i}c{copy}w{j}é" for j in range(80)]
+            text[3 * i + copy] = " ".join([*own[: 20 + 7 * copy], *words, *own[20 + 7 * copy :]])
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string").repartition(3)
+    left = {r.doc_id: r.text.split() for r in substrings.without_repeats(docs).collect()}
+    for d, words in left.items():
+        runs = {tuple(words[j : j + 5]) for j in range(len(words) - 4)}
+        if d % 3 == 0:
+            assert words == text[d].split()
+        else:
+            assert not runs & passage[d // 3]
+            own = [w for w in text[d].split() if w.startswith("d")]
+            assert set(words) <= set(own) and len(words) >= len(own) - 4  # paragraphs similar at an end
