@@ -37,8 +37,8 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
-#: Signatures let pass what lies at most three standard errors below the threshold.
-PASS = SIMILAR - 3 * (SIMILAR * (1 - SIMILAR) / SIZE) ** 0.5
+#: Signatures let pass what lies at most five and a half standard errors below the threshold.
+PASS = SIMILAR - 5.5 * (SIMILAR * (1 - SIMILAR) / SIZE) ** 0.5
 BLOCK = 256  # members of a bucket compared at a time
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import math
 
 import numpy as np
 import pytest
@@ -186,3 +187,9 @@ def test_a_passage_is_cut_whole(spark):
             assert not runs & passage[d // 3]
             own = [w for w in text[d].split() if w.startswith("d")]
             assert set(words) <= set(own) and len(words) >= len(own) - 4  # paragraphs similar at an end
+
+
+def test_signatures_let_similar_pairs_pass():
+    p, n = bagminhash.SIMILAR, bagminhash.SIZE
+    lost = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n) if k / n < bagminhash.PASS)
+    assert lost < (1 - p**bagminhash.ROWS) ** bagminhash.BANDS  # less than the bands lose
