@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from nudgetrail.llm import (
     bagminhash,
+    brown,
+    fill_middle,
+    hard_negatives,
     hnsw,
     mixing,
     order_minhash,
@@ -98,6 +101,36 @@ def op10_rank_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path(BYTE_BPE))
 
 
+def op11_angular_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = (F.col("vec_id") % 7 == 0) & F.col("label").isNotNull()
+    label = F.when(moved, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _read(spark, sf_dir, "embeddings").select(
+        "vec_id", label.alias("label"), F.col("embedding").alias("vector")
+    )
+    anchor = F.col("vec_id") % 100 == 0
+    return hard_negatives.hard_negatives(rows, anchor, Stages(spark, "negatives"))
+
+
+def op12_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    train = pu_quality.fold(F.col("doc_id")) != 1
+    return brown.class_scores(docs, train, Stages(spark, "brown")).select(
+        "doc_id",
+        (~F.col("train")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
+def op13_frame_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _new_folder(spark, "frames")
+    fill_middle.write_frames(_read(spark, sf_dir, "documents"), folder)
+    return fill_middle.read_digests(spark, folder)
+
+
 QUERIES = {
     "op1_flow_mixing": op1_flow_mixing,
     "op2_rans_shards": op2_rans_shards,
@@ -109,6 +142,9 @@ QUERIES = {
     "op8_concat_and_cut": op8_concat_and_cut,
     "op9_bagminhash": op9_bagminhash,
     "op10_rank_merge_counts": op10_rank_merge_counts,
+    "op11_angular_negatives": op11_angular_negatives,
+    "op12_brown_classes": op12_brown_classes,
+    "op13_frame_fill_middle": op13_frame_fill_middle,
 }
 
 SQL = {
@@ -133,4 +169,60 @@ SQL = {
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM b
     """,
+    "op11_angular_negatives": """
+        WITH r AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, r.vec_id AS vec_id, a.label = r.label AS same,
+                   list_inner_product(a.q, r.q)::BIGINT AS score
+            FROM r a JOIN r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id
+        ), p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+            FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT p.anchor_id, p.positive_id,
+               row_number() OVER (PARTITION BY p.anchor_id, p.positive_id
+                                  ORDER BY s.score DESC, s.vec_id)::INT AS rank,
+               s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+         AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+        QUALIFY rank <= 10
+    """,
+    "op13_frame_fill_middle": """
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                   sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x
+            FROM documents
+        ), h AS (
+            SELECT *, len(u) AS n,
+                   [('0x' || substr(x, 1 + 8 * i, 8))::BIGINT FOR i IN range(4)] AS h
+            FROM t
+        ), c AS (
+            SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a,
+                   greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+                   CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>')
+                          OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+                        WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM h
+        ), p AS (
+            SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p,
+                   coalesce(array_to_string(u[a + 1:b], ''), '') AS m,
+                   coalesce(array_to_string(u[b + 1:], ''), '') AS s
+            FROM c
+        )
+        SELECT doc_id, n, form,
+               CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text
+                                WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                                ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p
+    """,
 }
