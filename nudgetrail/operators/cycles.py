@@ -108,7 +108,7 @@ def anchor_state(
 
     One row per distinct state; a send with no observation that day is kept with NULLs.
     ``predictions`` are those of ``nudged_predictions``. ``sends`` must come from the nudge window
-    of the same ``dates``; it is read twice, so pass it written or cut.
+    of the same ``dates``. States that repeat on a day are combined before they are joined.
     """
     day = F.to_date("run_time")
     states = (
@@ -124,7 +124,7 @@ def anchor_state(
             price_at_next_band(rules).alias("price_at_next_band"),
         )
     )
-    joined = left_join_hot_right(sends, states, [*ITEM_KEY, "sent_date"])
+    joined = left_join_hot_right(sends, states, [*ITEM_KEY, "sent_date"], repeats=False)
     return (
         _with_rating(joined, predictions, "obs_date", rules)
         .select(

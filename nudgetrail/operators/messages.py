@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nudgetrail.functions.ratings import lookup
-from nudgetrail.operators.joins import eav_lookup, left_join_hot_right
+from nudgetrail.operators.joins import eav_flags, eav_lookup, left_join_hot_right
 from nudgetrail.settings import CampaignSpec, NudgeSpec, StudyDates
 
+#: Flags of the context's keys, and the days of a nudge.
+PROVIDER, ITEM = 1, 2
+NUDGE_DAYS = ("sent_date", "open_date", "click_date", "unsub_date")
+
 
 def _not_like(column: Column, pattern: str | None) -> Column:
     """NOT LIKE; a NULL value does not pass, and no pattern lets all pass."""
@@ -35,8 +39,8 @@ def campaign_roster(
     """Recipients of the campaign: provider, region and two 0/1 flags, sends and opens.
 
     Both are distinct counts of the provider within its own group, hence flags. Messages without
-    a provider come out as a NULL provider with both at 0. Tracking rows are reduced to one per
-    opened message first, so a message with many events is not repeated.
+    a provider come out as a NULL provider with both at 0. Providers are made distinct per message,
+    and tracking rows reduced to one per opened message, before they are joined to the messages.
     """
     messages = _campaign_messages(send, spec, dates).select("msg_id", "region")
     providers = eav_lookup(context, spec.provider_key, "provider").withColumn(
@@ -50,7 +54,7 @@ def campaign_roster(
     )
     known = F.col("provider").isNotNull()
     return (
-        left_join_hot_right(messages, providers, ["msg_id", "region"])
+        left_join_hot_right(messages, providers, ["msg_id", "region"], repeats=False)
         .join(opened, ["msg_id", "region"], "left")
         .groupBy("provider", F.col("provider_region").alias("region"))
         .agg(
@@ -103,14 +107,14 @@ def nudge_sends(
     spec: NudgeSpec,
     dates: StudyDates,
 ) -> DataFrame:
-    """Nudges sent to campaign recipients: one row per distinct set of dates and item."""
+    """Nudges sent to campaign recipients: one row per distinct set of dates and item.
+
+    The send log and the context are scanned once. What the context says of the wanted messages
+    is made distinct, with the keys that say it as flags, in one shuffle that spreads the values of
+    a message; providers and items are the two kinds of rows of its result.
+    """
     day = F.to_date("sent_time")
-    messages = send.where(
-        F.col("msg_type").isin(*spec.message_types)
-        & (day >= F.lit(dates.nudge_start))
-        & (day < F.lit(dates.nudge_end))
-        & _not_like(F.col(spec.exclude_on), spec.exclude_pattern)
-    ).select(
+    message = F.struct(
         "msg_id",
         F.col("region").alias("msg_region"),
         day.alias("sent_date"),
@@ -118,20 +122,34 @@ def nudge_sends(
         F.to_date("click_time").alias("click_date"),
         F.to_date("unsub_time").alias("unsub_date"),
     )
-    members = roster.where(F.col("opens") > 0) if spec.member == "opened" else roster
-    items = eav_lookup(context, spec.item_key, "item").withColumnRenamed("region", "item_region")
-    nudges = (
-        messages.join(eav_lookup(context, spec.provider_key, "provider"), "msg_id", "inner")
-        .join(members.select("provider", "region"), ["provider", "region"], "left_semi")
-        .join(items, "msg_id", "inner")
-    )
+    messages = send.where(
+        F.col("msg_type").isin(*spec.message_types)
+        & (day >= F.lit(dates.nudge_start))
+        & (day < F.lit(dates.nudge_end))
+        & _not_like(F.col(spec.exclude_on), spec.exclude_pattern)
+    ).select("msg_id", message.alias("message"))
+    flags = dict.fromkeys((spec.provider_key, spec.item_key), 0)
+    flags[spec.provider_key] |= PROVIDER
+    flags[spec.item_key] |= ITEM
+    found = eav_flags(context, flags)
+    found = messages.join(found, "msg_id", "inner")
     if spec.match_region:
-        nudges = nudges.where(
-            (F.col("region") == F.col("msg_region")) & (F.col("item_region") == F.col("msg_region"))
-        )
-    return nudges.select(
-        "provider", "region", "item", "sent_date", "open_date", "click_date", "unsub_date"
-    ).distinct()
+        found = found.where(F.col("region") == F.col("message.msg_region"))
+    # Both sides below read one exchange: they differ only in what comes after it.
+    found = found.groupBy("message", "region", "value").agg(F.bit_or("keys").alias("keys"))
+
+    def held(key: int, column: str) -> Column:
+        return F.when(F.col("keys").bitwiseAND(key) != 0, F.col(column))
+
+    is_provider, is_item = (F.col("keys").bitwiseAND(key) != 0 for key in (PROVIDER, ITEM))
+    providers = found.where(is_provider).select(
+        "message", held(PROVIDER, "value").alias("provider"), held(PROVIDER, "region").alias("region")
+    )
+    members = roster.where(F.col("opens") > 0) if spec.member == "opened" else roster
+    nudges = providers.join(
+        members.select("provider", "region"), ["provider", "region"], "left_semi"
+    ).join(found.where(is_item).select("message", F.col("value").alias("item")), "message", "inner")
+    return nudges.select("provider", "region", "item", *[f"message.{d}" for d in NUDGE_DAYS]).distinct()
 
 
 def send_engagement(nudges: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from nudgetrail.operators.joins import interval_join, null_safe_join
+from nudgetrail.operators.joins import bucketed_spans, interval_join, null_safe_join
 from nudgetrail.operators.lookahead import with_next
 from sampled import spark_rows
 
@@ -71,6 +71,41 @@ def test_interval_join_equals_a_plain_range_join(spark, width):
     assert spark_rows(found.select(*expected.columns)) == spark_rows(expected)
 
 
+def test_spans_of_any_length_touch_few_buckets(spark):
+    start = date(2001, 5, 17)
+    lengths = [-1, 0, 1, 6, 7, 8, 55, 56, 57, 400, 447, 448, 449, 3650, 3653, 30000, 900000]
+    rows = [(n, start, start + timedelta(days=n)) for n in lengths]
+    spans = spark.createDataFrame([*rows, (-2, None, start)], "n int, start date, stop date")
+    found = bucketed_spans(spans, "start", "stop", 7).groupBy("n").agg(
+        F.count("*").alias("rows"), F.max("__level").alias("level")
+    )
+    copies = {r["n"]: r["rows"] for r in found.collect()}
+    assert copies.keys() == {n for n in lengths if n > 0}
+    assert max(copies.values()) <= 9
+    levels = {r["n"]: r["level"] for r in found.collect()}
+    assert [levels[n] for n in (1, 56, 57, 448, 449, 3650)] == [0, 0, 1, 1, 2, 3]
+
+
+def test_interval_join_of_spans_of_all_lengths(spark):
+    rng = random.Random(9)
+    first = date(1965, 3, 1)
+    facts = spark.createDataFrame(
+        [(rng.choice([1, 1, 1, 2]), first + timedelta(days=rng.randrange(9000)), n) for n in range(900)],
+        "key int, day date, fact int",
+    )
+    spans = []
+    for n in range(120):
+        start = first + timedelta(days=rng.randrange(9000))
+        length = rng.choice([1, 5, 56, 57, 300, 448, 3650, 8000])
+        spans.append((rng.choice([1, 2, 3]), start, start + timedelta(days=length), n))
+    spans = spark.createDataFrame(spans, "key int, start date, stop date, span int")
+    expected = facts.join(spans, "key").where("day >= start and day < stop")
+    assert expected.count() > 4000
+    found = interval_join(facts, spans, ["key"], "day", "start", "stop")
+    assert spark_rows(found.select(*expected.columns)) == spark_rows(expected)
+    assert interval_join(facts, spans.limit(0), ["key"], "day", "start", "stop").count() == 0
+
+
 def test_null_safe_join_matches_nulls_and_keeps_left_keys(spark):
     left = spark.createDataFrame([(None, 1), ("x", 2), ("y", 3)], "k string, a int")
     right = spark.createDataFrame([(None, 10), ("x", 20)], "k string, b int")

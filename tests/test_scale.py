@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import shutil
+from dataclasses import replace
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from nudgetrail.operators import joins
+from nudgetrail.operators import joins, lookahead
 from nudgetrail.operators.cycles import nudged_observations, nudged_predictions
+from nudgetrail.operators.messages import nudge_sends
 from nudgetrail.plans.study import Nudged
 from nudgetrail.queries import QUERIES
-from nudgetrail.sources.standins import DATES, RATING, STUDY, SampleSources
+from nudgetrail.sources.standins import DATES, NUDGE, RATING, STUDY, SampleSources
 from nudgetrail.sources.tables import cut
 from sampled import duck_on, oracle_rows, spark_rows
 
@@ -24,6 +26,7 @@ SMALL_PARTITIONS = {
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
     "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.maxMetadataStringLength": "1000",
 }
 
 
@@ -104,13 +107,26 @@ def test_hot_key_is_split_where_the_log_is_joined(splitting, hot_dir):
     assert any("entity" in line for line in split)
 
 
-def test_look_ahead_window_sees_one_row_per_order_value(splitting, hot_dir):
-    df = contract.queries()["next_observation"](splitting, hot_dir)
-    lines = _plan(df).splitlines()
-    window = next(i for i, line in enumerate(lines) if "Window [lead" in line)
-    below = "\n".join(lines[window : window + 6])
-    assert "partial_max" not in below
-    assert "SortAggregate" in below, "rows are combined before the window's shuffle"
+def test_look_ahead_shuffles_once_and_spreads_one_key(splitting, monkeypatch):
+    seen = {}
+
+    def kept(df, stage):
+        seen[stage] = df
+        return cut(df, stage)
+
+    monkeypatch.setattr(lookahead, "cut", kept)
+    rows = splitting.range(4000, numPartitions=4).selectExpr(
+        "1 AS key", "int(id DIV 1500) AS day", "id AS value"
+    )
+    found = lookahead.with_next(rows, ["key"], ["day"], "day", "next_day")
+    ranged = _plan(seen["looked"])
+    assert ranged.count("Exchange ") == 1 and "Exchange rangepartitioning" in ranged
+    assert "Exchange" not in _ran(found).replace("BroadcastExchange", "")
+    tasks = cut(seen["looked"], "again").groupBy("__task").count().collect()
+    assert max(r["count"] for r in tasks) < 4000 / 3
+    days = {r.value: r.next_day for r in found.collect()}
+    want = {i: (i + 1) // 1500 if i < 3999 else None for i in range(4000)}
+    assert days == want
 
 
 def test_date_bounds_reach_the_scans(spark):
@@ -141,10 +157,61 @@ def test_days_outside_the_study_are_not_read(spark, tmp_path):
         assert spark_rows(nudged_observations(named, sends, DATES)) == spark_rows(plain)
 
 
-def test_hot_right_side_is_read_once(spark, tmp_path):
-    right = spark.range(1000).selectExpr("id % 10 as k", "id as v")
-    left = spark.createDataFrame([(3, "a"), (30, "b"), (None, "c")], "k bigint, name string")
-    found = joins.left_join_hot_right(left, right, ["k"])
-    expected = left.join(right, "k", "left")
-    assert spark_rows(found.select(*expected.columns)) == spark_rows(expected)
-    assert "Range" not in _plan(found)
+def _scans(plan: str, path) -> int:
+    return sum("Scan parquet" in line and str(path) in line for line in plan.splitlines())
+
+
+@pytest.mark.parametrize("name", ["anchor_state", "campaign_roster"])
+def test_hot_right_rows_are_dealt_to_parts(splitting, hot_dir, monkeypatch, name):
+    made = []
+
+    def hot_keys(rows, on, rows_a_task):
+        made.append(kept(rows, on, rows_a_task))
+        return made[-1]
+
+    kept = joins.hot_keys
+    monkeypatch.setattr(joins, "hot_keys", hot_keys)
+    monkeypatch.setattr(joins, "ROWS_A_TASK", 1)
+    assert spark_rows(contract.queries()[name](splitting, hot_dir)) == oracle_rows(
+        duck_on(hot_dir), name
+    )
+    assert made and (name != "anchor_state" or made[-1].count() > 100)
+
+
+def test_left_join_reads_the_left_side_once_and_writes_nothing(splitting, tmp_path):
+    spark = splitting
+    left = spark.createDataFrame(
+        [(3, "a"), (3, "b"), (4, "c"), (30, "d"), (None, "e")], "k bigint, name string"
+    )
+    left.write.parquet(f"{tmp_path}/left")
+    rows = [(3, i % 700) for i in range(1400)] + [(4, 1), (4, 1), (5, 2), (None, 3), (4, None)]
+    right = spark.createDataFrame(rows, "k bigint, v int").repartition(4)
+    left = spark.read.parquet(f"{tmp_path}/left")
+    folder = set(tmp_path.parent.rglob("matched*"))
+    for repeats in (True, False):
+        found = joins.left_join_hot_right(left, right, ["k"], repeats=repeats, rows_a_task=100)
+        expected = left.join(right if repeats else right.distinct(), "k", "left")
+        assert spark_rows(found.select(*expected.columns)) == spark_rows(expected)
+        assert _scans(_ran(found), f"{tmp_path}/left") == 1
+    assert set(tmp_path.parent.rglob("matched*")) == folder
+    parts = joins.hot_keys(right, ["k"], 100).collect()
+    assert [tuple(r) for r in parts] == [(3, 14)]
+    bare = joins.left_join_hot_right(left, right.select("k"), ["k"], rows_a_task=100)
+    assert spark_rows(bare) == spark_rows(left.join(right.select("k"), "k", "left"))
+
+
+def test_nudges_scan_the_send_log_and_the_context_once(splitting, tmp_path):
+    src = SampleSources(splitting, SAMPLE)
+    src.send.write.parquet(f"{tmp_path}/send")
+    src.context.write.parquet(f"{tmp_path}/context")
+    send, context = (splitting.read.parquet(f"{tmp_path}/{x}") for x in ("send", "context"))
+    roster = cut(STUDY.roster(src), "roster")
+    for match in (False, True):
+        spec = replace(NUDGE, match_region=match)
+        df = nudge_sends(send, context, roster, spec, DATES)
+        ran = _ran(df)
+        assert _scans(ran, f"{tmp_path}/send") == _scans(ran, f"{tmp_path}/context") == 1
+        assert "ReusedExchange" in ran
+    assert spark_rows(nudge_sends(send, context, roster, NUDGE, DATES)) == oracle_rows(
+        duck_on(SAMPLE), "nudge_sends"
+    )
