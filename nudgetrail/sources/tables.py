@@ -7,60 +7,123 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Inside a result's folder: its versions, and the file that names the one to read. Spark's own
+#: listing passes over names that begin so.
+VERSIONS, POINTER = "_versions", "_current"
+
+
 def read_source(spark: SparkSession, name: str) -> DataFrame:
-    """A parquet path (anything with a slash), or a catalog table of one to three parts."""
-    return spark.read.parquet(name) if "/" in name else spark.table(name)
+    """A path (anything with a slash), or a catalog table or view of one to three parts.
+
+    A path that ``write_result`` has written is read at its current version, any other as parquet.
+    """
+    if "/" not in name:
+        return spark.table(name)
+    version = _current(spark, name)
+    return spark.read.parquet(name if version is None else f"{name}/{VERSIONS}/{version}")
 
 
 def write_result(df: DataFrame, target: str, suffix: str = "") -> DataFrame:
-    """Creates or replaces ``target + suffix`` (a path or a catalog table) and reads it back.
-
-    The new rows are written whole under a name of their own before the old ones go, so a write
-    that fails leaves the last result as it was, and ``df`` may read from it. Tables of a catalog
-    other than the session's are replaced by that catalog.
+    """Creates or replaces ``target + suffix`` (a path or a catalog name) and reads it back.
+
+    Every call writes a version of its own, whole, and then swaps one pointer: for a path the file
+    that names the current version, by a rename that overwrites, and for a name of the session's
+    catalog a view on the version. So a reader sees the old result or the new one whenever it looks,
+    a driver lost at any step leaves the old one, and ``df`` may read from it. Versions but the
+    current one and the one before it, which running readers may still use, are deleted by the next
+    call that succeeds, with what lost drivers left. One writer at a time is assumed. Tables of
+    another catalog are replaced by that catalog.
     """
     name = target + suffix
     spark = df.sparkSession
-    fresh = f"{name}__{uuid.uuid4().hex}"
-    if "/" in name:
-        df.write.parquet(fresh)
-        _switch_folder(spark, fresh, name)
-    elif name.count(".") == 2 and not name.startswith("spark_catalog."):
+    if "/" not in name and name.count(".") == 2 and not name.startswith("spark_catalog."):
         df.writeTo(name).createOrReplace()
-    else:
-        df.write.format("parquet").saveAsTable(fresh)
-        _switch_table(spark, fresh, name)
+        return read_source(spark, name)
+    home = name if "/" in name else _view_folder(spark, name)
+    before = _current(spark, home)
+    version = f"{_number(before) + 1:09d}-{uuid.uuid4().hex}"
+    path = f"{home}/{VERSIONS}/{version}"
+    df.write.parquet(path)
+    if "/" not in name:
+        _drop_table(spark, name)
+        spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM parquet.`{path}`")
+    _point(spark, home, version)
+    _sweep(spark, home, {version, before})
     return read_source(spark, name)
 
 
-def _switch_folder(spark: SparkSession, fresh: str, name: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    old = path(f"{fresh}__old")
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    replaced = fs.exists(path(name))
-    if replaced and not fs.rename(path(name), old):
-        raise OSError(f"cannot move {name} away")
-    if not fs.rename(path(fresh), path(name)):
-        if replaced:
-            fs.rename(old, path(name))
-        raise OSError(f"cannot move {fresh} to {name}")
-    if replaced:
-        fs.delete(old, True)
-
-
-def _switch_table(spark: SparkSession, fresh: str, name: str) -> None:
-    fresh, name = (x.removeprefix("spark_catalog.") for x in (fresh, name))
-    replaced = spark.catalog.tableExists(name)
-    if replaced:
-        spark.sql(f"ALTER TABLE {name} RENAME TO {fresh}__old")
+def drop_result(spark: SparkSession, target: str, suffix: str = "") -> None:
+    """Deletes a result of ``write_result`` with all its versions."""
+    name = target + suffix
+    if "/" not in name:
+        if name.count(".") == 2 and not name.startswith("spark_catalog."):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            return
+        _drop_table(spark, name)
+        spark.sql(f"DROP VIEW IF EXISTS {name}")
+    home = name if "/" in name else _view_folder(spark, name)
+    fs, path = _file(spark, home)
+    fs.delete(path, True)
+
+
+def _file(spark: SparkSession, path: str):
+    """(file system, path), of Hadoop's."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _current(spark: SparkSession, home: str) -> str | None:
+    """The version that the pointer of a folder names, if it has one."""
+    fs, pointer = _file(spark, f"{home}/{POINTER}")
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def _number(version: str | None) -> int:
+    return int(version.split("-")[0]) if version else 0
+
+
+def _point(spark: SparkSession, home: str, version: str) -> None:
+    """Makes the pointer name ``version``: a new file, renamed over the old one in one step."""
+    fs, fresh = _file(spark, f"{home}/{POINTER}-{version}")
+    stream = fs.create(fresh, True)
     try:
-        spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
-    except Exception:
-        if replaced:
-            spark.sql(f"ALTER TABLE {fresh}__old RENAME TO {name}")
-        raise
-    if replaced:
-        spark.sql(f"DROP TABLE {fresh}__old")
+        stream.write(bytearray(version.encode()))
+    finally:
+        stream.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    overwrite = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    overwrite[0] = hadoop.Options.Rename.OVERWRITE
+    context = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(hadoop.Path(f"{home}/{POINTER}")), overwrite)
+
+
+def _sweep(spark: SparkSession, home: str, kept: set[str | None]) -> None:
+    """Deletes all in a result's folder but the kept versions and the pointer."""
+    fs, folder = _file(spark, home)
+    versions = spark._jvm.org.apache.hadoop.fs.Path(folder, VERSIONS)
+    for there, names in ((versions, kept), (folder, {VERSIONS, POINTER, f".{POINTER}.crc"})):
+        for found in fs.listStatus(there):
+            if found.getPath().getName() not in names:
+                fs.delete(found.getPath(), True)
+
+
+def _view_folder(spark: SparkSession, name: str) -> str:
+    """Where the versions behind a view are: beside the tables of its database."""
+    database, _, view = name.removeprefix("spark_catalog.").rpartition(".")
+    place = spark.catalog.getDatabase(database or spark.catalog.currentDatabase()).locationUri
+    return f"{place.rstrip('/')}/{view}{VERSIONS}"
+
+
+def _drop_table(spark: SparkSession, name: str) -> None:
+    """Makes way for a view where a plain table of that name was written by other means."""
+    if spark.catalog.tableExists(name) and spark.catalog.getTable(name).tableType != "VIEW":
+        spark.sql(f"DROP TABLE {name}")
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -9,7 +9,8 @@ from nudgetrail.operators.cycles import ITEM_KEY
 from nudgetrail.plans.study import SourceTables, run_study
 from nudgetrail.settings import NudgeSpec, StudyDates
 from nudgetrail.sources.standins import DATES, STUDY, SampleSources
-from nudgetrail.sources.tables import cut, drop_stages, read_source, write_result
+from nudgetrail.sources import tables
+from nudgetrail.sources.tables import cut, drop_result, drop_stages, read_source, write_result
 from sampled import duck_on, oracle_rows, spark_rows
 
 SAMPLE = "/root/testdata/sf0.01"
@@ -83,7 +84,9 @@ def test_tables_are_replaced(spark):
     again = write_result(spark.range(2).selectExpr("id as m"), "kept_numbers", "_a")
     assert again.columns == ["m"]
     assert read_source(spark, "kept_numbers_a").count() == 2
-    spark.sql("DROP TABLE kept_numbers_a")
+    spark.sql("SELECT m FROM kept_numbers_a").collect()
+    drop_result(spark, "kept_numbers", "_a")
+    assert not spark.catalog.tableExists("kept_numbers_a")
 
 
 @pytest.mark.parametrize("place", ["folder", "table"])
@@ -98,6 +101,69 @@ def test_a_failing_write_leaves_the_last_result(spark, tmp_path, place):
     assert write_result(doubled, target).agg({"n": "sum"}).first()[0] == 6
 
 
+STEPS = ("_drop_table", "_point", "_sweep")
+
+
+class Lost(Exception):
+    """A driver that dies."""
+
+
+@pytest.mark.parametrize("place", ["folder", "table"])
+@pytest.mark.parametrize("step", STEPS)
+@pytest.mark.parametrize("when", ["before", "after"])
+def test_a_reader_sees_the_old_or_the_new_result_at_any_step(
+    spark, tmp_path, monkeypatch, place, step, when
+):
+    if place == "folder" and step == "_drop_table":
+        pytest.skip("a folder has no table to make way")
+    target = f"{tmp_path}/numbers" if place == "folder" else "stepped_numbers"
+
+    def rows():
+        return sorted(r.n for r in read_source(spark, target).collect())
+
+    old, new = [0, 1, 2], [0, 10, 20, 30]
+    write_result(spark.range(3).toDF("n"), target)
+    assert rows() == old
+    plain = getattr(tables, step)
+
+    def dies(*args):
+        if when == "after":
+            plain(*args)
+        assert rows() in (old, new)
+        raise Lost
+
+    with monkeypatch.context() as patch:
+        patch.setattr(tables, step, dies)
+        with pytest.raises(Lost):
+            write_result(spark.range(4).selectExpr("id * 10 AS n"), target)
+    assert rows() in (old, new)
+    held = read_source(spark, target)
+    before = rows()
+    write_result(spark.range(2).toDF("n"), target)
+    assert rows() == [0, 1]
+    if (step, when) == ("_sweep", "after"):
+        assert sorted(r.n for r in held.collect()) == before  # a reader that began earlier
+    write_result(spark.range(1).toDF("n"), target)
+    home = target if place == "folder" else tables._view_folder(spark, target)
+    fs, path = tables._file(spark, f"{home}/_versions")
+    assert len(fs.listStatus(path)) == 2
+    drop_result(spark, target)
+    assert not fs.exists(path)
+
+
+def test_a_plain_folder_or_table_is_taken_over(spark, tmp_path):
+    spark.range(5).toDF("n").write.parquet(f"{tmp_path}/plain")
+    assert read_source(spark, f"{tmp_path}/plain").count() == 5
+    doubled = read_source(spark, f"{tmp_path}/plain").selectExpr("n * 2 AS n")
+    assert write_result(doubled, f"{tmp_path}/plain").agg({"n": "sum"}).first()[0] == 20
+    assert sorted(p.name for p in (tmp_path / "plain").iterdir() if p.name[0] != ".") == [
+        "_current", "_versions",
+    ]
+    spark.range(5).toDF("n").write.saveAsTable("plain_numbers")
+    assert write_result(spark.range(2).toDF("n"), "plain_numbers").count() == 2
+    drop_result(spark, "plain_numbers")
+
+
 def test_stages_can_be_dropped(spark):
     other = cut(spark.range(3).toDF("n"), "numbers").inputFiles()[0]
     drop_stages(spark)
