@@ -84,7 +84,7 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _new_folder(spark, "warc")
     warc.write_archives(_read(spark, sf_dir, "pages"), folder)
-    return warc.read_archives(spark, folder)
+    return warc.read_archives(spark, folder).drop("url")
 
 
 def op8_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ Spark's own writer and committer make the archives on any file system.
 A null html is an empty payload. ``smallest`` is the length from which payloads are compared;
 shorter ones are all responses. Rows that repeat page_id and payload are the same record: all have
 the type that one of them has, and point at the same response. A null page_id comes last among its
-equals and is written as an empty field. A null or broken url is written with all that may not
-stand in a header percent-encoded. An empty table gives an empty archive. Payloads of any length
+equals and is written as an empty field. A null url is written as urn:unknown, and what may not
+stand in a header is percent-encoded. An empty table gives an empty archive. Payloads of any length
 are written whole. Other columns are ignored.
 """
 
@@ -18,7 +18,9 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,6 +80,22 @@ def _record(lines: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(*head, F.lit(CRLF), block, F.lit(CRLF))
 
 
+#: What may not stand in a header line, and what stands for it.
+_ENCODED = {chr(i): f"%{i:02X}" for i in (*range(33), 127)}
+
+
+def _header_url(url: Column) -> Column:
+    """The url with controls and spaces percent-encoded, and each % that begins no such code.
+
+    So ``unquote`` gives an unencoded url back, and one that is well-formed stays as it is.
+    """
+    fit = F.regexp_replace(url, "%(?![0-9A-Fa-f]{2})", "%25")
+    for char, code in _ENCODED.items():
+        fit = F.replace(fit, F.lit(char), F.lit(code))
+    odd = url.rlike(r"[\x00-\x20\x7F]|%(?![0-9A-Fa-f]{2})")
+    return F.when(odd, fit).otherwise(url)
+
+
 def _urn(page: Column, digest: Column) -> Column:
     h = F.md5(F.concat_ws("|", F.coalesce(page.cast("string"), F.lit("")), digest))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
@@ -108,8 +126,7 @@ def records_of(pages: DataFrame, resolved: DataFrame, written: str = WRITTEN) ->
         F.octet_length("payload").cast("string"),
         F.lit(CRLF + CRLF),
     )
-    # What may not stand in a header line: controls, spaces.
-    url = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
+    url = _header_url(F.col("url"))
     first = F.when(again, _urn(F.col("refers_to"), F.col("digest")))
     lines = [
         ("WARC-Type", F.when(again, "revisit").otherwise("response")),
@@ -136,20 +153,22 @@ def write_archives(pages: DataFrame, folder: str, smallest: int = SMALLEST) -> N
     stages.drop()
 
 
-def _records_in(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record, by the length that it states."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split(CRLF)
-        if version != "WARC/1.1":
-            raise ValueError(f"no record at byte {at}")
-        head = dict(x.split(": ", 1) for x in lines)
-        stop = end + 4 + int(head["Content-Length"])
-        if data[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} has another length than it states")
-        yield head, data[end + 4 : stop]
-        at = stop + 4
+def _records_in(file: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record, by the length that it states, one at a time."""
+    while first := file.readline():
+        if first != b"WARC/1.1\r\n":
+            raise ValueError("no record where one should begin")
+        head = {}
+        while (line := file.readline()) != b"\r\n":
+            if not line.endswith(b"\r\n"):
+                raise ValueError("a record ends within its headers")
+            name, _, value = line[:-2].decode().partition(": ")
+            head[name] = value
+        size = int(head["Content-Length"])
+        block = file.read(size)
+        if len(block) != size or file.read(4) != b"\r\n\r\n":
+            raise ValueError(f"record {head['WARC-Record-ID']} has another length than it states")
+        yield head, block
 
 
 def read_archives(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
@@ -163,8 +182,8 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
             for packed in batch.column("content"):
                 rows: list[tuple] = []
                 held = 0
-                data = gzip.decompress(packed.as_py())
-                for head, block in _records_in(data):
+                file = gzip.GzipFile(fileobj=io.BytesIO(packed.as_py()))
+                for head, block in _records_in(io.BufferedReader(file, 1 << 20)):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     n = int(http.rpartition(b"Content-Length: ")[2])
                     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
