@@ -46,12 +46,14 @@ def source_targets(
         unit = left / sum(weight[s] for s in free)
         full = [s for s in order if s in free and weight[s] * unit > most * sizes[s]]
         if not full:
-            return target | {s: weight[s] * unit for s in free}
+            # In order: whoever walks the targets must not depend on how a set is laid out.
+            target |= {s: weight[s] * unit for s in free}
+            return {s: target[s] for s in order}
         for s in full:
             target[s] = float(most * sizes[s])
             left -= target[s]
             free.remove(s)
-    return target
+    return {s: target[s] for s in order}
 
 
 def route(
