@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from nudgetrail.llm.common import Stages, slices, texts
 from nudgetrail.llm.components import components
+from nudgetrail.llm.sieve import Sieve
 from nudgetrail.llm.words import U64, mix, words_of
 
 SHINGLE = 5
@@ -160,6 +161,7 @@ def _said(spots: DataFrame, rows: DataFrame) -> DataFrame:
             yield batch.take(pa.array(same))
 
     raw = F.substring(F.col("text").cast("binary"), _start("span") + 1, _end("span") - _start("span"))
+    rows = Sieve(spots, "doc_id").kept(rows, "doc_id")
     found = spots.join(rows, "doc_id").select("content", raw.alias("raw"))
     return found.mapInArrow(run, "content long, raw binary").dropDuplicates(["content"])
 
@@ -268,6 +270,7 @@ def _links(contents: DataFrame, rows: DataFrame, stages: Stages) -> DataFrame:
     members = reduce(DataFrame.unionByName, found)
     wanted = stages.cut(members.select("content").distinct(), "wanted")
     spots = contents.select("content", "doc_id", "span").join(wanted, "content", "left_semi")
+    spots = stages.cut(spots, "spots")
     said = stages.cut(_said(spots, rows), "said")
     pairs = members.where("content > hub").select("content", "hub").distinct().toDF("a", "b")
     return _connected(members, _verified(pairs, said), said, stages)
@@ -298,7 +301,9 @@ def _connected(members: DataFrame, links: DataFrame, said: DataFrame, stages: St
 def _repeats(docs: DataFrame, stages: Stages) -> DataFrame:
     """(doc_id, span, class_id, keeper, at, own, own_at): see ``repeated_paragraphs``.
 
-    ``keeper`` and ``at`` are where the class stands first, ``own`` and ``own_at`` the content.
+    ``keeper`` and ``at`` are where the class stands first, ``own`` and ``own_at`` the content. Rows
+    of documents that repeat come as often; nothing follows the join, so that a content with any
+    share of all places can be split.
     """
     rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = rows.where("doc_id IS NOT NULL")
@@ -325,7 +330,7 @@ def _repeats(docs: DataFrame, stages: Stages) -> DataFrame:
     named = named.drop("last").withColumnsRenamed({"doc_id": "own", "span": "own_at"})
     named = stages.cut(named.join(keepers, "class_id"), "kept")
     stages.drop("contents", "named")
-    return units.join(named, "content").distinct()
+    return units.join(named, "content").drop("content")
 
 
 def repeated_paragraphs(docs: DataFrame, stages: Stages) -> DataFrame:
@@ -337,7 +342,7 @@ def repeated_paragraphs(docs: DataFrame, stages: Stages) -> DataFrame:
         "doc_id", _start("span").alias("start"), _end("span").alias("end"), "class_id",
         F.col("keeper").alias("keeper_doc_id"), _start("at").alias("keeper_start"),
         (F.col("doc_id") != F.col("keeper")).alias("removed"),
-    )
+    ).distinct()
 
 
 def _chains(removed: DataFrame) -> DataFrame:
@@ -391,6 +396,7 @@ def _segments(chains: DataFrame, rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     parts = chains.groupBy("source").agg(F.collect_set(F.struct("low", "high")).alias("parts"))
+    rows = Sieve(chains, "source").kept(rows, "doc_id")
     joined = rows.join(parts, F.col("doc_id") == F.col("source")).select("source", "text", "parts")
     found = joined.mapInArrow(run, "source long, low long, high long, start long, raw binary")
     return found.groupBy("source", "low", "high").agg(F.min(F.struct("start", "raw")).alias("said"))
@@ -448,7 +454,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     exact = F.struct(F.col("own").alias("source"), F.col("own_at").alias("at"))
     removed = removed.select("doc_id", "span", F.explode(F.array_distinct(F.array(first, exact))).alias("x"))
     removed = removed.where("x.source < doc_id").groupBy("doc_id").agg(
-        F.collect_list(F.struct("span", "x.source", "x.at")).alias("found")
+        F.collect_set(F.struct("span", "x.source", "x.at")).alias("found")
     )
     chains = stages.cut(_chains(removed), "chains")
     stages.drop("paragraphs", "kept")
@@ -458,8 +464,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     )
     spans = stages.cut(spans, "spans")
 
-    columns = docs.columns
-    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("cut_doc"), "left")
+    columns, schema = docs.columns, docs.schema
+    # Documents that are not cut do not have to be shuffled with those that may be.
+    docs = Sieve(spans, "cut_doc").marked(docs, "doc_id", "cut_maybe")
+    same_doc = F.col("doc_id").cast("long") == F.col("cut_doc")
+    joined = docs.where("cut_maybe").join(spans, same_doc, "left").select(*columns, "cut_spans")
+    nothing = F.lit(None).cast(spans.schema["cut_spans"].dataType).alias("cut_spans")
+    joined = joined.unionByName(docs.where("NOT cut_maybe").select(*columns, nothing))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -477,7 +488,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 out["n_chars"] = pa.array([n if s is None else len(t) for s, t, n in size], kind)
             yield pa.RecordBatch.from_pydict(out).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select(*columns, "cut_spans").mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, schema)
 
 
 def _left(text: str, chains: list[dict]) -> str:

@@ -1,9 +1,19 @@
 import base64
 import hashlib
+import io
+import itertools
+import os
+import random
+import subprocess
+import sys
+from pathlib import Path
+from urllib.parse import unquote
 
 import corpus_pipeline
 import numpy as np
+import pytest
 from nudgetrail.llm import mixing, pu_quality, warc
+from nudgetrail.llm.sieve import Sieve
 from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.01"
@@ -22,6 +32,50 @@ def test_overlapping_sources_are_filled_at_the_least_cost():
     assert max(sum(flows[0].values()), sum(flows[1].values())) <= 150  # no third time
 
 
+def test_routes_do_not_depend_on_the_process():
+    code = (
+        "from nudgetrail.llm import mixing as m\n"
+        "sizes = {'a': 900, 'b': 700, 'c': 400, 'd': 300, None: 100}\n"
+        "kinds = [(('a', 'b'), 500), (('b', 'c'), 400), (('a', 'c', 'd'), 600), (('d', None), 300),"
+        " (('a', 'b', 'c', 'd'), 700), (('b',), 100), ((None, 'a'), 200)]\n"
+        "print(m.route(kinds, m.source_targets(sizes)))"
+    )
+    repo = str(Path(mixing.__file__).parents[2])
+    seen = set()
+    for seed in range(10):
+        env = os.environ | {"PYTHONHASHSEED": str(seed), "PYTHONPATH": repo}
+        ran = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True)
+        seen.add(ran.stdout)
+    assert len(seen) == 1 and seen.pop().startswith("[{")
+
+
+def _cheapest(kinds, targets, most):
+    """The most words that fit, and the least repetition, by trying all flows of whole units."""
+    arcs = [(i, s) for i, (members, _) in enumerate(kinds) for s in members]
+    best = None
+    for flow in itertools.product(*[range(min(most * kinds[i][1], targets[s]) + 1) for i, s in arcs]):
+        taken = [sum(f for f, (i, _) in zip(flow, arcs) if i == k) for k in range(len(kinds))]
+        filled = {s: sum(f for f, (_, x) in zip(flow, arcs) if x == s) for s in targets}
+        if any(t > most * kinds[k][1] for k, t in enumerate(taken)):
+            continue
+        if any(filled[s] > targets[s] for s in targets):
+            continue
+        cost = sum(max(0, t - n * kinds[k][1]) for k, t in enumerate(taken) for n in range(1, most))
+        best = min(best or (0, 0), (-sum(flow), cost))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_flows_cost_as_little_as_any(seed):
+    rng = random.Random(seed)
+    kinds = [(m, rng.randrange(1, 4)) for m in (("a",), ("a", "b"), ("b", "c"))]
+    targets = {s: rng.randrange(0, 6) for s in "abc"}
+    flows = mixing.route(kinds, {s: float(t) for s, t in targets.items()}, 3)
+    taken = [sum(f.values()) for f in flows]
+    cost = sum(max(0, t - n * size) for t, (_, size) in zip(taken, kinds) for n in range(1, 3))
+    assert (-sum(taken), cost) == _cheapest(kinds, targets, 3)
+
+
 def test_mix_takes_whole_documents_near_the_targets(spark, docs, no_docs):
     big = spark.read.parquet(f"{SMALL}/documents.parquet")
     mixed, x = mixing.mix(big, F.array("source"), whole=False)
@@ -80,6 +134,34 @@ def test_archives_give_back_every_page(spark, tmp_path):
     assert short[2] == "response" and short[9] == "revisit"
 
 
+def test_urls_come_back_from_their_headers(spark, tmp_path):
+    urls = {1: "http://a\tb\nc d", 2: "http://a/100%", 3: "http://a/b%20c%zz", 4: "http://a/\u00e9?q=1"}
+    pages = spark.createDataFrame([(k, u, "x") for k, u in urls.items()], "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "u"))
+    got = {r.page_id: r.url for r in warc.read_archives(spark, str(tmp_path / "u")).collect()}
+    assert got == {
+        1: "http://a%09b%0Ac%20d", 2: "http://a/100%25", 3: "http://a/b%20c%25zz", 4: urls[4],
+    }
+    assert unquote(got[1]) == urls[1] and unquote(got[2]) == urls[2]
+
+
+def test_a_damaged_archive_is_refused():
+    record = b"WARC/1.1\r\nWARC-Record-ID: x\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert [b for _, b in warc._records_in(io.BytesIO(record * 2))] == [b"abc"] * 2
+    for broken in (record[:-5], record[1:], record.replace(b"abc", b"ab"), record[:20]):
+        with pytest.raises(ValueError):
+            list(warc._records_in(io.BytesIO(record + broken)))
+
+
+def test_a_sieve_lets_every_wanted_row_through(spark):
+    rows = spark.range(0, 200_000).withColumnRenamed("id", "doc_id")
+    wanted = rows.where("doc_id % 100 = 7").union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    kept = Sieve(wanted, "doc_id").kept(rows, "doc_id")
+    assert kept.join(wanted, "doc_id", "left_semi").count() == 2000
+    assert kept.count() < 0.1 * 200_000
+    assert Sieve(wanted.limit(0), "doc_id").kept(rows, "doc_id").count() == 0
+
+
 def test_stages_keep_columns_and_survive_odd_rows(spark, docs, no_docs, tmp_path):
     labels = spark.createDataFrame([(1, 1), (4, 1), (10, 0)], "doc_id long, quality int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
