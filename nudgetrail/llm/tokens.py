@@ -19,7 +19,7 @@ from itertools import chain
 import numpy as np
 import regex
 
-from nudgetrail.llm.words import hash_spans
+from nudgetrail.llm.words import digest_spans
 
 #: Fixed value: the split pattern that the library's byte-level pre-tokenizer states.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -54,7 +54,7 @@ def build_of(config: dict) -> str:
 class Cut:
     """Chunks of a batch of texts: distinct ones, and which of them each text is made of."""
 
-    key: np.ndarray  # 64-bit hash of each distinct chunk
+    key: np.ndarray  # 64-bit digest of each distinct chunk
     sample: list[tuple[int, int]]  # where in data it stands
     member: np.ndarray  # the distinct chunk of every chunk, in text order
     first: np.ndarray  # chunks of text i: first[i]:first[i + 1]
@@ -108,7 +108,7 @@ class Cutter:
         start = np.flatnonzero(edge)
         end = np.append(start[1:], len(byte))
         key, sample, member = np.unique(
-            hash_spans(byte, start, end), return_index=True, return_inverse=True
+            digest_spans(byte, start, end), return_index=True, return_inverse=True
         )
         spans = list(zip(start[sample].tolist(), end[sample].tolist(), strict=True))
         return Cut(key, spans, member, np.searchsorted(start, at), data)

@@ -50,6 +50,24 @@ def test_counts_are_those_of_the_library(tools):
     check()
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+@pytest.mark.parametrize("size", [512, 1024, 4096, 8192])
+def test_chunks_of_a_regular_build_are_told_apart(path, size):
+    """Words whose letters swap as in the Thue-Morse sequence, whose polynomial hashes agree."""
+    bits = [0]
+    while len(bits) < size:
+        bits += [1 - b for b in bits]
+    one, two = ("".join(letters[b] for b in bits) for letters in ("er", "re"))
+    encoder, together = Encoder(path), Encoder(path)
+    ids, at = together.encode([one, two])
+    counter = token_counts.Counter(path) if path == BYTE else None
+    for i, text in enumerate((one, two)):
+        want = of_library(path, text)
+        assert encoder.encode([text])[0].tolist() == want == ids[at[i] : at[i + 1]].tolist()
+        assert counter is None or counter.count([text]).tolist() == [len(want)]
+    assert counter is None or counter.count([two, one]).tolist() == np.diff(at)[::-1].tolist()
+
+
 def test_count_tokens_of_every_row(docs, no_docs):
     got = sorted(map(tuple, token_counts.count_tokens(docs, BYTE).collect()))
     want = []
