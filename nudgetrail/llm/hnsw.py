@@ -280,6 +280,11 @@ def linked_vectors(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
         F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), doubles.alias("embedding")
     )
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    # Squares of very large or small components overflow or vanish: such vectors are scaled first.
+    most = F.array_max(F.transform("embedding", F.abs))
+    scaled = F.transform("embedding", lambda x: F.try_divide(x, most))
+    plain = norm.between(1e-100, 1e100)
+    rows = rows.withColumn("embedding", F.when(plain, F.col("embedding")).otherwise(scaled))
     usable = (
         F.col("vec_id").isNotNull() & F.col("label").isNotNull()
         & (norm > 0) & (norm < float("inf"))

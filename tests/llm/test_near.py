@@ -193,3 +193,17 @@ def test_signatures_let_similar_pairs_pass():
     p, n = bagminhash.SIMILAR, bagminhash.SIZE
     lost = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n) if k / n < bagminhash.PASS)
     assert lost < (1 - p**bagminhash.ROWS) ** bagminhash.BANDS  # less than the bands lose
+
+
+def test_vectors_of_any_norm_link(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (1, 0, [1e200, 0.0]), (2, 0, [2e200, 1e198]), (3, 0, [3.0, 0.0]), (4, 0, [0.0, 1e300]),
+        (5, 0, [1e-200, 1e-202]), (6, 0, [0.0, 2e-320]), (7, 0, [0.0, 0.0]), (8, 0, [nan, 1e200]),
+        (9, 0, [inf, 1.0]), (10, 0, [None, 1e200]), (11, 0, None), (12, 0, []), (13, 1, [1e200, 0.0]),
+    ]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.linked_vectors(df).collect()}
+    assert {i: got[i] for i in (1, 2, 3, 5)} == dict.fromkeys((1, 2, 3, 5), (3, 1))
+    assert got[4] == got[6] == (1, 4)
+    assert all(got[i] == (0, i) for i in (7, 8, 9, 10, 11, 12, 13))
