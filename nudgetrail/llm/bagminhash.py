@@ -13,10 +13,11 @@ blocks, wherever two members are not yet connected. What the signatures let pass
 exact overlap of the multisets, and components of verified links are the classes.
 
 Texts are equal or not as a whole first: copies are one member from there on. Null and empty texts
-and texts of white space are near their equals only. Rows with a null doc_id are classes of their
-own (null), all kept. Rows that repeat doc_id and text are one document. Texts of any length are
-taken whole. A doc_id that comes with several texts is one document that is near whatever any of
-them is near. Other columns are ignored; an empty table gives no row.
+and texts of white space are near their equals only. Rows that repeat doc_id and text are one
+document, also where doc_id is null: their id is then a hash of the text (see ``identity``), which
+names a class only where no member has an id below it. Texts of any length are taken whole. A
+doc_id that comes with several texts is one document that is near whatever any of them is near.
+Other columns are kept by ``without_copies`` and ignored otherwise; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nudgetrail.llm.common import Stages, slices, texts
 from nudgetrail.llm.components import components
+from nudgetrail.llm.identity import identified
 from nudgetrail.llm.words import U64, mix, shingles_of, words_of
 
 SHINGLE = 5
@@ -39,7 +41,8 @@ BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
 #: Signatures let pass what lies at most five and a half standard errors below the threshold.
 PASS = SIMILAR - 5.5 * (SIMILAR * (1 - SIMILAR) / SIZE) ** 0.5
-BLOCK = 256  # members of a bucket compared at a time
+#: Members of a bucket compared at a time, and the shingles that such a block has about at most.
+BLOCK, ROOM = 256, 1 << 18
 
 
 def weighted_shingles(
@@ -181,10 +184,12 @@ def _verified(pairs: DataFrame, shared: DataFrame) -> DataFrame:
 def _within(members: DataFrame, reps: DataFrame, shared: DataFrame) -> DataFrame:
     """Links (a, b) between members of a bucket that are not connected yet.
 
-    Members (key, rep, component, n) are dealt to blocks; every two blocks of a bucket meet in one
-    group, so that no group has more than about two blocks. A group tests what the signatures let
-    pass, the most alike first, unless its links have connected the two by then, and returns its
-    links: a forest at most, never all pairs.
+    Members (key, rep, component, least) are dealt to blocks of bounded size, those of the least
+    component of the bucket apart. Every two blocks of a bucket meet in one group but for two of that
+    component, so that no group has more than about two blocks and a text that is connected already
+    goes to as many groups as there are blocks of others. A group tests what the signatures let pass,
+    the most alike first, unless its links have connected the two by then, and returns its links: a
+    forest at most, never all pairs.
     """
 
     def compare(table: pa.Table) -> pa.Table:
@@ -193,7 +198,6 @@ def _within(members: DataFrame, reps: DataFrame, shared: DataFrame) -> DataFrame
         value = np.frombuffer(
             b"".join(table.column("signature").to_pylist()), dtype="<u4"
         ).reshape(-1, SIZE)
-        bag = bags([x.encode() for x in table.column("text").to_pylist()])
         block = table.column("block").to_numpy()
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
         near: list[np.ndarray] = [np.zeros((0, 3))]
@@ -206,6 +210,9 @@ def _within(members: DataFrame, reps: DataFrame, shared: DataFrame) -> DataFrame
                 np.column_stack([alike[close], np.full(close.sum(), i), j[close]])
             )
         tests = np.concatenate(near)
+        tested = np.unique(tests[:, 1:].astype(int))
+        coded = [x.encode() for x in table.column("text").take(pa.array(tested)).to_pylist()]
+        bag = dict(zip(tested.tolist(), bags(coded), strict=True))
         root = {x: x for x in part.tolist()}
 
         def find(x: int) -> int:
@@ -222,27 +229,34 @@ def _within(members: DataFrame, reps: DataFrame, shared: DataFrame) -> DataFrame
                 b.append(min(rep[i], rep[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = reps.select("rep", "signature").join(shared, "rep")
-    dealt = members.join(own, "rep").withColumn(
-        "block", F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    main = F.col("component") == F.col("least")
+    sized = members.join(reps.select("rep", F.col("n").alias("shingles")), "rep")
+
+    def blocks(which: Column) -> Column:
+        n = F.ceil(F.count(F.when(which, 1)) / BLOCK)
+        return F.greatest(n, F.ceil(F.sum(F.when(which, F.col("shingles")).otherwise(0)) / ROOM))
+
+    small = (F.count("*") <= BLOCK) & (F.sum("shingles") <= ROOM)
+    counted = sized.groupBy("key").agg(
+        F.when(small, 0).otherwise(blocks(main)).cast("int").alias("mains"),
+        F.when(small, 1).otherwise(blocks(~main)).cast("int").alias("others"),
     )
-    met = dealt.select(
-        "key", "rep", "component", "signature", "text", "block",
-        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"),
-    )
-    met = met.select(
-        "key", "rep", "component", "signature", "text", "block",
+    spread, apart = F.xxhash64("rep"), main & (F.col("mains") > 0)
+    block = F.when(apart, F.col("others") + F.pmod(spread, F.greatest("mains", F.lit(1))))
+    block = block.otherwise(F.pmod(spread, "others")).cast("int")
+    last = F.when(apart, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    dealt = members.join(counted, "key").withColumn("block", block)
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(
+        "key", "rep", "component", "block",
         F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
     )
+    met = met.join(reps.select("rep", "signature").join(shared, "rep"), "rep")
     return met.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, kept): the smallest doc_id of a class names it and is kept."""
-    stages = Stages(docs.sparkSession, "bagminhash")
-    rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    signed = stages.cut(signatures(rows.where("doc_id IS NOT NULL")), "signed")
+def _classes(rows: DataFrame, stages: Stages) -> DataFrame:
+    """(doc_id, class_id) of rows (doc_id, text) that have ids and no repeats."""
+    signed = stages.cut(signatures(rows), "signed")
     first = signed.groupBy("h").agg(F.min(F.struct("doc_id", "n", "signature")).alias("x"))
     reps = stages.cut(
         first.select("h", F.col("x.doc_id").alias("rep"), "x.n", "x.signature"), "reps"
@@ -271,11 +285,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     far = far.join(far.toDF("up", "over"), "up", "left")
     known = stages.cut(far.select("rep", F.coalesce("over", "up").alias("component")), "known")
     placed = members.join(known, "rep", "left")
-    placed = placed.select("key", "rep", F.coalesce("component", "rep").alias("component"), "n")
+    placed = placed.select("key", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("key").agg(
         F.min("component").alias("least"), F.max("component").alias("most")
     )
-    mixed = stages.cut(mixed.where("least < most").select("key"), "mixed")
+    mixed = stages.cut(mixed.where("least < most").select("key", "least"), "mixed")
     more = stages.cut(_within(placed.join(mixed, "key"), reps, shared), "more-links")
 
     joined = components(links.unionByName(more), stages, "all").withColumnRenamed("node", "rep")
@@ -286,8 +300,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "classes",
     )
     stages.drop("hubs", "members", "reps", "shared", "mixed", "known")
-    found = signed.select("doc_id", "h").join(classes, "h").select("doc_id", "class_id").distinct()
-    nameless = rows.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("c"))
-    return found.unionByName(nameless.toDF("doc_id", "class_id")).withColumn(
-        "kept", F.col("class_id").isNull() | (F.col("doc_id") == F.col("class_id"))
-    )
+    return signed.select("doc_id", "h").join(classes, "h").select("doc_id", "class_id").distinct()
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, kept): the smallest id of a class names it and is kept."""
+    stages = Stages(docs.sparkSession, "bagminhash")
+    rows, key = identified(texts(docs), stages)
+    found = _classes(rows.select(F.col(key).alias("doc_id"), "text"), stages)
+    nameless = rows.where("doc_id IS NULL").select(F.col(key).alias("doc_id"), F.lit(True).alias("made"))
+    return found.join(nameless.distinct(), "doc_id", "left").select(
+        F.when(F.col("made").isNull(), F.col("doc_id")).alias("doc_id"), "class_id",
+        (F.col("doc_id") == F.col("class_id")).alias("kept"),
+    )
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` but for one of each class of near-duplicates, and one of repeated rows."""
+    stages = Stages(docs.sparkSession, "bagminhash")
+    rows, key = identified(docs, stages)
+    found = _classes(texts(rows.select(F.col(key).alias("doc_id"), "text")), stages)
+    gone = found.where("doc_id != class_id").select(F.col("doc_id").alias(f"{key}gone"))
+    gone = stages.cut(gone.distinct(), "gone")
+    left = rows.join(gone, F.col(key) == F.col(f"{key}gone"), "left_anti")
+    return left.select(*docs.columns)

@@ -61,7 +61,24 @@ class Table:
 
 
 def encode_blocks(table: Table, blocks: list[np.ndarray]) -> list[tuple[bytes, int, int]]:
-    """(checkpoints and words, number of words, number of checkpoints) of each block of ids."""
+    """(checkpoints and words, number of words, number of checkpoints) of each block of ids.
+
+    Blocks are coded in step with those of like length: none is padded to over twice its own.
+    """
+    out: list[tuple[bytes, int, int]] = [(b"", 0, 0)] * len(blocks)
+    group: list[int] = []
+    for i in sorted(range(len(blocks)), key=lambda i: -len(blocks[i])):
+        if group and 2 * len(blocks[i]) < len(blocks[group[0]]):
+            for b, coded in zip(group, _in_step(table, [blocks[b] for b in group]), strict=True):
+                out[b] = coded
+            group = []
+        group.append(i)
+    for b, coded in zip(group, _in_step(table, [blocks[b] for b in group]), strict=True):
+        out[b] = coded
+    return out
+
+
+def _in_step(table: Table, blocks: list[np.ndarray]) -> list[tuple[bytes, int, int]]:
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     steps = np.array([-(-len(blocks[i]) // LANES) for i in order])
     most = int(steps[0])

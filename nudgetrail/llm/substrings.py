@@ -15,9 +15,10 @@ of links are classes, the first paragraph of a class stays, and those of other d
 
 Documents shorter than a paragraph and null texts have none and stay as they are. Repeats within one
 document are not removed for their own sake. Ties are broken by doc_id, then place; rows that repeat
-doc_id and text are one document. Rows with a null doc_id are left alone. Texts of any length are
-taken whole. An empty table gives no row. Other columns are kept by ``without_repeats`` and ignored
-elsewhere.
+doc_id and text are one document, of which ``without_repeats`` returns one row. There, rows with a
+null doc_id take part by a hash of their text (see ``identity``); ``repeated_paragraphs``, whose rows
+say doc_ids, leaves them out. Texts of any length are taken whole. An empty table gives no row. Other
+columns are kept by ``without_repeats`` and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 from nudgetrail.llm.common import Stages, slices, texts
 from nudgetrail.llm.components import components
+from nudgetrail.llm.identity import identified
 from nudgetrail.llm.sieve import Sieve
 from nudgetrail.llm.words import U64, mix, words_of
 
@@ -447,9 +449,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     n_chars, where there is one, follows the text. A document of which nothing is left is dropped.
     """
     stages = Stages(docs.sparkSession, "substrings")
-    rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = rows.where("doc_id IS NOT NULL")
-    removed = _repeats(docs, stages).where("doc_id != keeper")
+    columns, schema = docs.columns, docs.schema
+    docs, key = identified(docs, stages)
+    rows = texts(docs.select(F.col(key).alias("doc_id"), "text"))
+    removed = _repeats(rows, stages).where("doc_id != keeper")
     first = F.struct(F.col("keeper").alias("source"), "at")
     exact = F.struct(F.col("own").alias("source"), F.col("own_at").alias("at"))
     removed = removed.select("doc_id", "span", F.explode(F.array_distinct(F.array(first, exact))).alias("x"))
@@ -464,10 +467,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     )
     spans = stages.cut(spans, "spans")
 
-    columns, schema = docs.columns, docs.schema
     # Documents that are not cut do not have to be shuffled with those that may be.
-    docs = Sieve(spans, "cut_doc").marked(docs, "doc_id", "cut_maybe")
-    same_doc = F.col("doc_id").cast("long") == F.col("cut_doc")
+    docs = Sieve(spans, "cut_doc").marked(docs, key, "cut_maybe")
+    same_doc = F.col(key) == F.col("cut_doc")
     joined = docs.where("cut_maybe").join(spans, same_doc, "left").select(*columns, "cut_spans")
     nothing = F.lit(None).cast(spans.schema["cut_spans"].dataType).alias("cut_spans")
     joined = joined.unionByName(docs.where("NOT cut_maybe").select(*columns, nothing))

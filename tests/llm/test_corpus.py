@@ -11,10 +11,15 @@ from urllib.parse import unquote
 
 import corpus_pipeline
 import numpy as np
+import public_tokenizers
 import pytest
-from nudgetrail.llm import mixing, pu_quality, warc
+from llm_rows import prose
+from nudgetrail.llm import bagminhash, mixing, packing, pu_quality, substrings, warc
+from nudgetrail.llm.common import Stages
+from nudgetrail.llm.identity import identified
 from nudgetrail.llm.sieve import Sieve
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -162,6 +167,54 @@ def test_a_sieve_lets_every_wanted_row_through(spark):
     assert Sieve(wanted.limit(0), "doc_id").kept(rows, "doc_id").count() == 0
 
 
+def test_documents_without_an_id_are_deduplicated_too(spark):
+    text, other = prose(21, 120), prose(22, 120)
+    near = text.replace(text.split()[60], "changed")
+    passage = prose(23, 70)
+    rows = [(3, text, "a", 1), (None, text, "b", 2), (None, near, "c", 3), (None, other, "d", 5),
+            (None, other, "c", 4), (9, other + " end", "x", 1), (9, other + " end", "w", 1),
+            (None, None, "n", 1), (None, "", "m", 1), (12, passage, "p", 1),
+            (None, f"{prose(24, 90)} {passage} {prose(25, 90)}", "q", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, gone int").repartition(4)
+    one, key = identified(docs, Stages(spark, "test"))
+    assert one.where(f"{key} IS NULL").isEmpty() and one.count() == 8
+    kept = bagminhash.without_copies(docs).collect()
+    assert {(r.doc_id, r.source, r.gone) for r in kept} == {
+        (3, "a", 1), (9, "w", 1), (None, "m", 1), (12, "p", 1), (None, "q", 1),
+    }
+    found = bagminhash.near_duplicates(docs).collect()
+    classes = sorted((r.doc_id or -1, r.class_id if r.class_id < 100 else -1, r.kept) for r in found)
+    assert classes == [(-1, -1, True), (-1, -1, True), (-1, 3, False), (-1, 3, False), (-1, 9, False),
+                       (3, 3, True), (9, 9, True), (12, 12, True)]
+    left = {(r.doc_id, r.source): r.text for r in substrings.without_repeats(docs).collect()}
+    assert left[None, "q"].split() == (prose(24, 90) + " " + prose(25, 90)).split()
+    assert left[12, "p"] == passage and (None, "b") not in left
+
+
+def test_run_applies_the_stages_one_after_another(spark, tmp_path):
+    rows = [(i, prose(40 + i, 60 + i % 40), "en", "a", 0) for i in range(60)]  # one source: all are taken
+    rows += [(100 + i, prose(40 + i, 60 + i % 40), "en", "a", 0) for i in range(20)]  # copies
+    rows += [(200, f"{prose(190, 50)} {rows[0][1]} {prose(191, 50)}", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([], "doc_id long, quality int")  # no labels: nothing is rejected
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    left = {r[0]: r for r in rows if not 100 <= r[0] < 200}
+    left[200] = (200, f"{prose(190, 50)} {prose(191, 50)}", "en", "b", 0)
+    library = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    size = {d: len(library.encode(" ".join(r[1].split()), add_special_tokens=False).ids) for d, r in left.items()}
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {p.doc_id for p in pieces} == set(left)
+    for p in pieces:
+        assert abs(p.doc_tokens - 1 - size[p.doc_id]) <= 1  # the cut leaves a blank more
+    places = sorted((p.sequence_id, p.offset, p.length) for p in pieces)
+    ends = {}
+    for sequence, offset, length in places:
+        assert offset == ends.get(sequence, 0)
+        ends[sequence] = offset + length
+    assert all(n == packing.WINDOW for s, n in ends.items() if s < max(ends))
+
+
 def test_stages_keep_columns_and_survive_odd_rows(spark, docs, no_docs, tmp_path):
     labels = spark.createDataFrame([(1, 1), (4, 1), (10, 0)], "doc_id long, quality int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -113,3 +114,17 @@ def test_a_damaged_block_is_refused():
     assert (a, b) == (5, None) and (x == ids).all() and (y == ids[:3]).all()
     with pytest.raises(ValueError, match="checksum"):
         rans.decode_blocks(table, [block[:400] + bytes([block[400] ^ 1]) + block[401:]])
+
+
+def test_a_long_block_does_not_widen_the_others():
+    rng = np.random.default_rng(2)
+    sizes = [1, 0, 3_000_000, *[rans.BLOCK] * 12, 70, rans.BLOCK // 2]
+    docs = [[(i, rng.integers(0, 50, n))] for i, n in enumerate(sizes)]
+    table = rans.Table(np.arange(50), np.ones(50, dtype=np.int64))
+    tracemalloc.start()
+    blocks = rans.block_bytes(table, docs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 * sum(sizes)  # all padded to the longest it is some 450
+    for ((name, ids),), ((got, back),) in zip(docs, rans.decode_blocks(table, blocks), strict=True):
+        assert name == got and (ids == back).all()
