@@ -23,10 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates; null doc_ids are classes of their own."""
-    found = bagminhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone"))
-    gone = Stages(spark, "pipeline-near").cut(found.distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    """One document of each class of near-duplicates, with or without a doc_id."""
+    return bagminhash.without_copies(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
