@@ -85,6 +85,15 @@ def audience_size(
     )
 
 
+def openers_by_country(roster: DataFrame, dims: DataFrame, labels: ReportLabels) -> DataFrame:
+    """How many recipients opened the campaign, per country label."""
+    return (
+        _with_segment(roster.where(F.col("opens") > 0), dims, labels, False)
+        .groupBy("country")
+        .agg(F.count_distinct("region", "provider").alias("openers"))
+    )
+
+
 def changed_share(summary: DataFrame, audience: DataFrame, *, by_country: bool = True) -> DataFrame:
     """Share of the audience that changed, per summary row.
 

@@ -8,7 +8,12 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame
 
-from nudgetrail.operators.changes import first_change, persistence, state_at_first_change
+from nudgetrail.operators.changes import (
+    first_change,
+    merge_change,
+    persistence,
+    state_at_first_change,
+)
 from nudgetrail.operators.cycles import (
     anchor_state,
     flag_changes,
@@ -25,7 +30,12 @@ from nudgetrail.operators.messages import (
     opener_count,
     send_engagement,
 )
-from nudgetrail.operators.report import audience_size, changed_share, pre_post_summary
+from nudgetrail.operators.report import (
+    audience_size,
+    changed_share,
+    openers_by_country,
+    pre_post_summary,
+)
 from nudgetrail.settings import CampaignSpec, NudgeSpec, RatingRules, ReportLabels, StudyDates
 from nudgetrail.sources.tables import cut, write_result
 
@@ -121,15 +131,23 @@ class Study:
 
 @dataclass(frozen=True)
 class Results:
-    """Tables of a run, and the report frames, which nothing has computed yet."""
+    """Tables of a run, and the frames made from them, which nothing has computed yet.
+
+    ``flags`` holds the trajectory's rows with their flags. Of the frames, ``merged`` is the largest;
+    the study itself does not read it.
+    """
 
     roster: DataFrame
     anchors: DataFrame
     flags: DataFrame
     persistent: DataFrame
+    first: DataFrame
+    at_change: DataFrame
+    merged: DataFrame
     summary: DataFrame
     audience: DataFrame
     openers: DataFrame
+    openers_by_country: DataFrame
     share: DataFrame
 
 
@@ -160,6 +178,8 @@ def run_study(
     flags = keep(study.flags(src, nudged, anchors), "flags")
     persistent = keep(study.persistent(flags), "persistent")
 
+    first = first_change(flags)
+    at_change = state_at_first_change(flags, first)
     dims = provider_dims(src.site, src.acct, src.account)
     groups = {"by_country": by_country, "use_fallback": use_fallback}
     summary = pre_post_summary(
@@ -173,8 +193,12 @@ def run_study(
         anchors=anchors,
         flags=flags,
         persistent=persistent,
+        first=first,
+        at_change=at_change,
+        merged=merge_change(flags, first, at_change),
         summary=summary,
         audience=audience_size(roster, dims, study.labels, **groups),
         openers=opener_count(roster),
+        openers_by_country=openers_by_country(roster, dims, study.labels),
         share=changed_share(summary, by_region, by_country=by_country),
     )

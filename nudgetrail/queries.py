@@ -271,6 +271,11 @@ def audience_size_by_segment(src: Sources) -> DataFrame:
     )
 
 
+@query
+def openers_by_country(src: Sources) -> DataFrame:
+    return report.openers_by_country(STUDY.roster(src), _dims(src), LABELS)
+
+
 @query
 def changed_share(src: Sources) -> DataFrame:
     roster = cut(STUDY.roster(src), "roster")

@@ -9,7 +9,12 @@ from nudgetrail.operators.changes import (
     state_at_first_change,
 )
 from nudgetrail.operators.joins import provider_dims
-from nudgetrail.operators.report import audience_size, changed_share, pre_post_summary
+from nudgetrail.operators.report import (
+    audience_size,
+    changed_share,
+    openers_by_country,
+    pre_post_summary,
+)
 from nudgetrail.queries import QUERIES
 from sampled import duck_on
 
@@ -241,3 +246,14 @@ def test_audience_and_share_count_by_region(spark):
         ("Home", None, "POST", 1.0),
         ("Other", None, "POST", None),
     ]
+
+
+def test_openers_by_country_count_by_region(spark):
+    members = [(1, "P", 1), (2, "P", 0), (8, "P", 1), (8, "Q", 1), (None, None, 1)]
+    roster = frame(spark, "roster", *[{"provider": p, "region": r, "opens": n} for p, r, n in members])
+    dims = spark.createDataFrame(
+        [(1, "P", None, "s", "f"), (2, "P", "AA", "s", "f"), (8, "P", "??", "s", "f")],
+        "provider long, region string, country string, segment string, fallback_segment string",
+    )
+    found = openers_by_country(roster, dims, LABELS)
+    assert rows(found, "country", "openers") == [("Home", 2), ("Other", 1)]

@@ -28,6 +28,10 @@ def test_study_equals_the_single_queries(results):
         "send_cycles": results.anchors,
         "flag_changes": results.flags,
         "persistence": results.persistent,
+        "first_change": results.first,
+        "state_at_first_change": results.at_change,
+        "merge_change": results.merged,
+        "openers_by_country": results.openers_by_country,
         "pre_post_summary": results.summary,
         "audience_size": results.audience,
         "opener_count": results.openers,
