@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from datetime import date, timedelta
 from typing import Protocol
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from nudgetrail.operators.changes import (
     first_change,
@@ -37,7 +40,14 @@ from nudgetrail.operators.report import (
     pre_post_summary,
 )
 from nudgetrail.settings import CampaignSpec, NudgeSpec, RatingRules, ReportLabels, StudyDates
-from nudgetrail.sources.tables import cut, write_result
+from nudgetrail.sources.tables import (
+    DayTable,
+    cut,
+    read_note,
+    read_source,
+    write_note,
+    write_result,
+)
 
 
 class Sources(Protocol):
@@ -78,6 +88,16 @@ class Nudged:
     predictions: DataFrame
 
 
+def _members(roster: DataFrame, spec: NudgeSpec) -> DataFrame:
+    """The members of a roster whose nudges a study takes."""
+    taken = roster.where("opens > 0") if spec.member == "opened" else roster
+    return taken.select("provider", "region").dropna().distinct()
+
+
+def _same_rows(a: DataFrame, b: DataFrame) -> bool:
+    return a.subtract(b).isEmpty() and b.subtract(a).isEmpty()
+
+
 @dataclass(frozen=True)
 class Study:
     """One campaign's settings."""
@@ -107,6 +127,81 @@ class Study:
         predictions = nudged_predictions(src.prediction2, sends, self.dates, self.rating)
         return Nudged(sends, cut(log, "log"), cut(predictions, "predictions"))
 
+    def nudged_by_day(
+        self, src: Sources, roster: DataFrame, folder: str, since: date | None = None
+    ) -> Nudged:
+        """What ``nudged`` gives, kept by day in ``folder``, so that a later run only adds days.
+
+        A run reads sends, item log and predictions from the first day that the folder lacks, or
+        from ``since`` if that is earlier: the first day with rows that have changed, messages
+        opened since among them. The days before are read from the folder. The context has no
+        days: it is scanned whole and joined to the messages of the new days. Of the days before an
+        item's first nudge the log may lack rows that ``nudged`` has; no stage reads them.
+
+        With another first day, nudge specification or set of members than the folder's, all days
+        are written anew. The folder's note says how far it is whole, and says less
+        before a run replaces days, so that the next run mends what a lost driver left. One writer
+        at a time; frames of an earlier run that nothing has written see the new days.
+        """
+        spark, dates = roster.sparkSession, self.dates
+        note = f"{folder}/_whole"
+        members = _members(roster, self.nudge)
+        first_log_day = max(dates.obs_start, dates.nudge_start)
+        settings = repr(
+            (self.nudge, self.rating.special_country, dates.nudge_start, first_log_day)
+        )
+        known = json.loads(read_note(spark, note) or "{}")
+        if known.get("settings") == settings and _same_rows(
+            members, read_source(spark, f"{folder}/members")
+        ):
+            sends_to, log_to = (date.fromisoformat(known[end]) for end in ("sends_to", "log_to"))
+        else:
+            sends_to = log_to = date.min
+
+        # New nudges need the log of their items from their day on, so all begin on one day.
+        begins = [since] if since is not None else []
+        begins += [sends_to] if sends_to < dates.nudge_end else []
+        begins += [log_to] if log_to <= dates.obs_end else []
+        begin = min(begins, default=max(sends_to, log_to))
+
+        def say(sends_end: date, log_end: date) -> None:
+            ends = {"sends_to": sends_end.isoformat(), "log_to": log_end.isoformat()}
+            write_note(spark, note, json.dumps({"settings": settings, **ends}))
+
+        sends_to, log_to = min(sends_to, begin), min(log_to, begin)
+        say(sends_to, log_to)
+        if begin == date.min:
+            write_result(members, f"{folder}/members")
+
+        first = max(begin, dates.nudge_start)
+        sends = DayTable(spark, f"{folder}/sends", "sent_date")
+        sends.drop(begin)
+        if first < dates.nudge_end:
+            new = replace(dates, nudge_start=first)
+            sends.add(
+                send_engagement(nudge_sends(src.send, src.context, roster, self.nudge, new))
+            )
+            sends_to = dates.nudge_end
+
+        log = DayTable(spark, f"{folder}/log", "run_day")
+        predictions = DayTable(spark, f"{folder}/predictions", "creation_date")
+        log.drop(begin)
+        predictions.drop(begin)
+        if first <= dates.obs_end or begin == date.min:
+            new = replace(dates, obs_start=min(max(first, first_log_day), dates.obs_end))
+            nudged = sends.read()
+            found = nudged_observations(src.observation, nudged, new, self.run_date)
+            log.add(found.withColumn("run_day", F.to_date("run_time")))
+            predictions.add(nudged_predictions(src.prediction2, nudged, new, self.rating))
+            log_to = dates.obs_end + timedelta(days=1)
+        say(sends_to, log_to)
+
+        return Nudged(
+            sends.read(dates.nudge_start, dates.nudge_end - timedelta(days=1)),
+            log.read(first_log_day, dates.obs_end).drop("run_day"),
+            predictions.read(first_log_day, dates.obs_end),
+        )
+
     def anchors(self, nudged: Nudged) -> DataFrame:
         return anchor_state(
             nudged.sends, nudged.log, nudged.predictions, self.dates, self.rating
@@ -161,19 +256,26 @@ def run_study(
     use_fallback: bool = True,
     country: str | None = None,
     grain: str = "segment",
+    by_day: str | None = None,
+    since: date | None = None,
 ) -> Results:
     """Runs every stage and returns its tables and reports.
 
     With a ``target`` prefix (a path ending in a slash, or ``catalog.schema.``) the four stage
     tables replace ``<target>roster``, ``anchors``, ``flags`` and ``persistent``, all but the
-    roster with the suffix. Without one they go to the checkpoint folder.
+    roster with the suffix. Without one they go to the checkpoint folder. With a folder
+    ``by_day``, a run for a later window adds to what earlier runs kept there, and reads the sources
+    from ``since`` or the first missing day on (``Study.nudged_by_day``).
     """
 
     def keep(df: DataFrame, name: str, end: str = suffix) -> DataFrame:
         return cut(df, name) if target is None else write_result(df, target + name, end)
 
     roster = keep(study.roster(src), "roster", "")
-    nudged = study.nudged(src, roster)
+    if by_day is None:
+        nudged = study.nudged(src, roster)
+    else:
+        nudged = study.nudged_by_day(src, roster, by_day, since)
     anchors = keep(study.cycles(nudged), "anchors")
     flags = keep(study.flags(src, nudged, anchors), "flags")
     persistent = keep(study.persistent(flags), "persistent")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from nudgetrail.sources.standins import (
     STUDY,
     SampleSources,
 )
-from nudgetrail.sources.tables import cut, read_source, shared_folder, write_result
+from nudgetrail.sources.tables import cut, read_source, stage_path, write_result
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -59,7 +59,7 @@ def campaign_roster_rows(src: Sources) -> DataFrame:
 def stored_roundtrip(src: Sources) -> DataFrame:
     """The roster written to a name with a suffix, over an earlier result, and read by that name."""
     roster = cut(STUDY.roster(src), "roster")
-    target = f"{shared_folder(roster.sparkSession).rstrip('/')}/kept-{uuid.uuid4().hex}/roster"
+    target = f"{stage_path(roster.sparkSession, 'kept')}/roster"
     write_result(roster.where("opens > 0"), target, "_march")
     write_result(roster, target, "_march")
     return read_source(roster.sparkSession, f"{target}_march")
@@ -211,6 +211,22 @@ def study_earlier_form(src: Sources) -> DataFrame:
     return study.flags(src, nudged, study.cycles(nudged))
 
 
+@query
+def later_window(src: Sources) -> DataFrame:
+    """The flags of a study that was run for an earlier window and then carried on to the whole one.
+
+    The second run also takes two days again, as if rows had come late.
+    """
+    roster = cut(STUDY.roster(src), "roster")
+    folder = stage_path(roster.sparkSession, "by_day")
+    days = (DATES.nudge_end - DATES.nudge_start).days // 2
+    middle = DATES.nudge_start + timedelta(days=days)
+    earlier = replace(DATES, nudge_end=middle, obs_end=middle, as_of=middle)
+    replace(STUDY, dates=earlier).nudged_by_day(src, roster, folder)
+    nudged = STUDY.nudged_by_day(src, roster, folder, since=middle - timedelta(days=2))
+    return STUDY.flags(src, nudged, STUDY.cycles(nudged))
+
+
 @query
 def first_change(src: Sources) -> DataFrame:
     return changes.first_change(flag_changes(src))

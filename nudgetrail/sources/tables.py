@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 #: Inside a result's folder: its versions, and the file that names the one to read. Spark's own
@@ -74,33 +78,43 @@ def _file(spark: SparkSession, path: str):
 
 def _current(spark: SparkSession, home: str) -> str | None:
     """The version that the pointer of a folder names, if it has one."""
-    fs, pointer = _file(spark, f"{home}/{POINTER}")
-    if not fs.exists(pointer):
+    return read_note(spark, f"{home}/{POINTER}")
+
+
+def read_note(spark: SparkSession, path: str) -> str | None:
+    """What a small file of ``write_note`` holds, if there is one."""
+    fs, note = _file(spark, path)
+    if not fs.exists(note):
         return None
-    stream = fs.open(pointer)
+    stream = fs.open(note)
     try:
         return bytes(stream.readAllBytes()).decode()
     finally:
         stream.close()
 
 
-def _number(version: str | None) -> int:
-    return int(version.split("-")[0]) if version else 0
-
-
-def _point(spark: SparkSession, home: str, version: str) -> None:
-    """Makes the pointer name ``version``: a new file, renamed over the old one in one step."""
-    fs, fresh = _file(spark, f"{home}/{POINTER}-{version}")
+def write_note(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file: a new one, renamed over the old one in one step."""
+    fs, fresh = _file(spark, f"{path}-{uuid.uuid4().hex}")
     stream = fs.create(fresh, True)
     try:
-        stream.write(bytearray(version.encode()))
+        stream.write(bytearray(text.encode()))
     finally:
         stream.close()
     hadoop = spark._jvm.org.apache.hadoop.fs
     overwrite = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
     overwrite[0] = hadoop.Options.Rename.OVERWRITE
     context = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
-    context.rename(fs.makeQualified(fresh), fs.makeQualified(hadoop.Path(f"{home}/{POINTER}")), overwrite)
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(hadoop.Path(path)), overwrite)
+
+
+def _number(version: str | None) -> int:
+    return int(version.split("-")[0]) if version else 0
+
+
+def _point(spark: SparkSession, home: str, version: str) -> None:
+    """Makes the pointer name ``version``, in one step."""
+    write_note(spark, f"{home}/{POINTER}", version)
 
 
 def _sweep(spark: SparkSession, home: str, kept: set[str | None]) -> None:
@@ -136,6 +150,11 @@ def _stage_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/nudgetrail-{spark.sparkContext.applicationId}"
 
 
+def stage_path(spark: SparkSession, stage: str) -> str:
+    """A new path for a stage of this application."""
+    return f"{_stage_folder(spark)}/{stage}-{uuid.uuid4().hex}"
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Deletes the stages of this application, once nothing is read from its results any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(_stage_folder(spark))
@@ -149,6 +168,44 @@ def cut(df: DataFrame, stage: str) -> DataFrame:
     it, and each reader scans only its own columns. Every call writes a folder of its own;
     ``drop_stages`` deletes those of the application.
     """
-    path = f"{_stage_folder(df.sparkSession)}/{stage}-{uuid.uuid4().hex}"
+    path = stage_path(df.sparkSession, stage)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class DayTable:
+    """A folder of parquet files partitioned by a date column, replaced from some day on.
+
+    Earlier days are neither read nor written. A driver lost between ``drop`` and the end of ``add``
+    leaves some of the later days out, and the same two calls mend that: whoever keeps such a
+    folder notes first from which day on it is in doubt.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, day: str):
+        self.spark, self.path, self.day = spark, path, day
+
+    def drop(self, since: date) -> None:
+        """Deletes the days from ``since`` on."""
+        fs, folder = _file(self.spark, self.path)
+        first = f"{self.day}={since.isoformat()}"
+        for found in fs.listStatus(folder) if fs.exists(folder) else ():
+            name = found.getPath().getName()
+            if name.startswith(f"{self.day}=") and name >= first:
+                fs.delete(found.getPath(), True)
+
+    def add(self, rows: DataFrame) -> None:
+        """Adds rows, whose days must not be NULL: a large day by several tasks, a small one by one."""
+        spread = rows.hint("rebalance", F.col(self.day))
+        spread.write.mode("append").partitionBy(self.day).parquet(self.path)
+        # The columns, for a reader who finds no row.
+        write_note(self.spark, f"{self.path}/_columns", rows.schema.json())
+
+    def read(self, first: date | None = None, last: date | None = None) -> DataFrame:
+        """The days ``first`` to ``last``, or all."""
+        columns = StructType.fromJson(json.loads(read_note(self.spark, f"{self.path}/_columns")))
+        rows = self.spark.read.schema(columns).parquet(self.path)
+        if first is not None:
+            rows = rows.where(F.col(self.day) >= F.lit(first))
+        if last is not None:
+            rows = rows.where(F.col(self.day) <= F.lit(last))
+        return rows.select(*columns.names)
