@@ -45,6 +45,7 @@ def pre_post_summary(
     PRE and POST go by the date of the change. ``grain="provider"`` adds provider and region to
     the groups; ``country`` keeps one country label. ``by_country=False, use_fallback=False`` is
     the earlier form of the report. Ordered by the first two columns, descending, NULLs first.
+    Items are counted per provider, and the counts added: a row is shuffled once for both counts.
     """
     if grain not in ("segment", "provider"):
         raise ValueError("grain must be 'segment' or 'provider'")
@@ -55,13 +56,15 @@ def pre_post_summary(
         rows = rows.where(F.col("country") == country)
     detail = ["provider", "region"] if grain == "provider" else []
     groups = [*detail, *_by(by_country), "time_period"]
+    # As a count of distinct rows, neither count takes a provider that lacks a column.
+    known = F.col("provider").isNotNull() & F.col("region").isNotNull()
     return (
-        rows.groupBy(*groups)
+        rows.groupBy(*dict.fromkeys([*groups, "provider", "region"]))
+        .agg(F.count_distinct("item", "area", "first_change_date").alias("items"))
+        .groupBy(*groups)
         .agg(
-            F.count_distinct("provider", "region", "item", "area", "first_change_date").alias(
-                "changed_items"
-            ),
-            F.count_distinct("provider", "region").alias("changed_providers"),
+            F.sum(F.when(known, F.col("items")).otherwise(0)).alias("changed_items"),
+            F.count(F.when(known, 1)).alias("changed_providers"),
         )
         .withColumn("items_per_provider", F.try_divide("changed_items", "changed_providers"))
         .orderBy(*[F.col(c).desc_nulls_first() for c in groups[:2]])
